@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup
+from . import bpe, decontaminate, exact_dedup, langid, lm, toxicity
 from .common import table
 
+#: The vocabulary of the BPE queries: its file's name in the folder of public tokenizers.
+VOCABULARY_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+def vocabulary() -> tuple[str, str]:
+    """Path of the rank file and the pattern that goes with it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY_FILE), public_tokenizers.PATTERN
+
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -14,10 +25,35 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_documents(docs, lm.train(docs))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary(), with_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op7_exact_dedup": op7_exact_dedup}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.with_labels(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+
+
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_lm_scoring, op3_language_id, op5_byte_bpe, op7_exact_dedup, op10_toxicity)}
 ORACLE_SQL = {"op1_decontamination": decontaminate.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
