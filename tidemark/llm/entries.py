@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, lm, toxicity
+from . import bpe, decontaminate, exact_dedup, langid, lm, near_dedup, toxicity
 from .common import table
 
 #: The vocabulary of the BPE queries: its file's name in the folder of public tokenizers.
@@ -46,6 +46,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(toxicity.with_labels(docs, table(spark, sf_dir, "labels")))
@@ -55,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_lm_scoring, op3_language_id, op5_byte_bpe, op7_exact_dedup, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_lm_scoring, op3_language_id, op5_byte_bpe, op7_exact_dedup, op9_near_dedup, op10_toxicity)}
 ORACLE_SQL = {"op1_decontamination": decontaminate.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
