@@ -53,7 +53,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(toxicity.with_labels(docs, table(spark, sf_dir, "labels")))
+    learn = ~toxicity.held_out()
+    model = toxicity.train(docs.where(learn), table(spark, sf_dir, "labels").select("doc_id", "toxic").where(learn))
     found = toxicity.scored(docs, model)
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 

@@ -1,11 +1,13 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training counts every word of every labelled text in Spark, for toxic and
-clean texts apart.  A word's score is its log-odds ratio between the two with
-an informative Dirichlet prior (the corpus frequency, PRIOR times as strong as
-the corpus); only words whose score is significant (|z| >= Z) have one, all
-others have none, and every word pays DRIFT, so that the expected score of
-clean text is negative.
+Tokens are words and the beginnings of words (PREFIXES bytes, for words of the
+same stem).  Training counts, over every labelled text and in Spark, in how
+many toxic and clean texts each token occurs.  A token's score is its log-odds
+ratio between the two with an informative Dirichlet prior (the corpus
+frequency, PRIOR times as strong as the corpus); only tokens whose score is
+significant (|z| >= Z) have one.  A word scores what its most telling token
+does, the k-th time in a text a k-th of it, and every word pays DRIFT, so that
+the expected score of clean text is negative.
 
 A text is scanned once from left to right for all its maximal scoring
 segments.  Under clean text the score S of the best segment of n words has an
@@ -15,33 +17,38 @@ lambda S - ln(K n); segments above 0 are reported as passages, and the
 document's evidence is their sum.  A logistic curve fitted to the evidence of all
 labelled texts turns it into a probability.
 
-The model is a table of at most MAX_WORDS words (the most significant ones),
-which bounds what is broadcast.
+The model is a table of at most MAX_TOKENS tokens (the most significant ones),
+which bounds what is broadcast.  Training moves the labelled texts once, to
+meet their labels; calibration and scoring move only ids and numbers.
 
 Cases: null and empty texts and texts without scored words have evidence 0
-and the score that goes with it; without labels, or with one class only,
-every score is the prior share of that class, or 0; repeated rows give
-repeated results; an empty table gives an empty result.  Only doc_id and text
-are read of documents, and doc_id and toxic of labels.
+and the score that goes with it; without labels of either class every score is
+0; a document labelled both ways counts as toxic; repeated rows give repeated
+results; an empty table gives an empty result.  Only doc_id and text are read
+of documents, and doc_id and toxic of labels.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import WORD_TABLE, column_bytes, hash_word, slices, word_hashes
+from .common import cut, doc_key
+from .textbatch import LOWER, WORD_HASH, column_bytes, mix, rows_of, slices, word_spans
 
 PRIOR = 0.1
 Z = 3.0
 CAP = 6.0
 DRIFT = 0.5
-MAX_WORDS = 50_000
+MAX_TOKENS = 50_000
+#: Bytes of the beginnings of longer words that are tokens too.
+PREFIXES = (4, 5, 6, 7, 8)
+#: Distinct tokens that a training task holds before it sends them.
+HELD = 1_000_000
 THRESHOLD = 0.7
 #: Evidence is counted in steps of 1/STEPS up to MAX_EVIDENCE for the logistic fit.
 STEPS, MAX_EVIDENCE = 4, 200
@@ -75,59 +82,110 @@ def segments(scores: list[float], places: list[int]) -> list[tuple[int, int, flo
     return [(a, b, after - before) for a, b, before, after, _ in held]
 
 
+def tokens(col: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(places of words, hashes of their token) of whole words, then of each prefix length, and the rows' offsets in the words."""
+    buf, off = column_bytes(col)
+    lower = LOWER[buf]
+    starts, ends, word_off = word_spans(lower, off)
+    prefix = WORD_HASH.prefix(lower)
+    out = [(np.arange(len(starts)), mix(WORD_HASH.spans(prefix, starts, ends)))]
+    for n in PREFIXES:
+        at = np.flatnonzero(ends - starts > n)
+        out.append((at, mix(WORD_HASH.spans(prefix, starts[at], starts[at] + n) ^ np.uint64(n << 56 | 1))))
+    return out, word_off
+
+
 class Model:
-    """Word scores, the extreme-value parameters and the logistic calibration."""
+    """Token scores, the extreme-value parameters and the logistic calibration."""
 
-    def __init__(self, words: dict[bytes, float], lam: float, k: float):
-        self.hashes = np.array([hash_word(w) for w in words], np.uint64)
-        order = np.argsort(self.hashes)
-        self.hashes = self.hashes[order]
-        self.scores = np.array(list(words.values()), float)[order] if words else np.zeros(0)
+    def __init__(self, scores: dict[int, float], lam: float, k: float):
+        self.hashes = np.sort(np.array(list(scores), np.uint64))
+        self.scores = np.array([scores[h] for h in self.hashes.tolist()], float)
         self.lam, self.k = lam, k
-        self.slope, self.shift = 0.0, -30.0
-
-    def passages(self, col: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """Words of each row, and its segments with a normalised score above 0 (first word, last word, normalised score)."""
-        hashes, off = word_hashes(col)
-        n = np.diff(off)
+        self.slope, self.shift = 0.0, -60.0
+
+    def word_scores(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of scored words, their scores, and the rows' offsets in the words."""
+        found, off = tokens(col)
+        value, token = np.zeros(off[-1]), np.zeros(off[-1], np.uint64)
+        if len(self.hashes):
+            for at, h in found:
+                k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                known = self.hashes[k] == h
+                at, h, s = at[known], h[known], self.scores[k[known]]
+                more = np.abs(s) > np.abs(value[at])
+                value[at[more]], token[at[more]] = s[more], h[more]
+        at = np.flatnonzero(value)
+        # the k-th time that a token scores in a row counts a k-th
+        row = np.searchsorted(off, at, side="right") - 1
+        order = np.lexsort((at, token[at], row))
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(row[order]) != 0) | (token[at[order]][1:] != token[at[order]][:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        times = np.empty(len(at))
+        times[order] = np.arange(len(at)) - first + 1
+        return at, value[at] / times, off
+
+    def passages(self, col: pa.Array) -> list[list[tuple[int, int, float]]]:
+        """The segments of each row with a normalised score above 0: first word, last word, normalised score."""
+        at, value, off = self.word_scores(col)
+        value = value - DRIFT
+        border, n = np.searchsorted(at, off), np.diff(off)
         found: list[list] = [[] for _ in range(len(n))]
-        if len(self.hashes) and len(hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            known = np.flatnonzero(self.hashes[at] == hashes)
-            value = self.scores[at[known]] - DRIFT
-            border = np.searchsorted(known, off)
-            for r in np.flatnonzero(np.add.reduceat(np.append(value > 0, False), np.minimum(border[:-1], len(value))) * (np.diff(border) > 0)):
-                i, j = border[r], border[r + 1]
-                level = math.log(max(self.k * float(n[r]), 1e-9))
-                found[r] = [(a, b, x) for a, b, s in segments(value[i:j].tolist(), (known[i:j] - off[r]).tolist()) if (x := self.lam * s - level) > 0]
-        return n, found
+        positive = np.concatenate([[0], np.cumsum(value > 0)])
+        for r in np.flatnonzero(positive[border[1:]] > positive[border[:-1]]):
+            i, j = border[r], border[r + 1]
+            level = math.log(max(self.k * float(n[r]), 1e-9))
+            found[r] = [(a, b, x) for a, b, s in segments(value[i:j].tolist(), (at[i:j] - off[r]).tolist()) if (x := self.lam * s - level) > 0]
+        return found
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -60, 60)))
 
 
-def word_counts(labelled: DataFrame) -> DataFrame:
-    """word, toxic and clean: how often each word occurs in texts of either label."""
+def token_counts(labelled: DataFrame) -> DataFrame:
+    """token (hash), whole (1: a word, 0: a beginning), toxic and clean: the number of texts of either label that have the token."""
+
+    def merged(held: list[np.ndarray]) -> np.ndarray:
+        """Rows of hash, whole, toxic, clean, summed by hash."""
+        x = np.concatenate(held)
+        order = np.argsort(x["h"], kind="stable")
+        x = x[order]
+        first = np.flatnonzero(np.concatenate([[True], x["h"][1:] != x["h"][:-1]])) if len(x) else np.zeros(0, int)
+        out = x[first].copy()
+        for c in ("toxic", "clean"):
+            out[c] = np.add.reduceat(x[c], first) if len(x) else 0
+        return out
 
     def run(batches):
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        kind = [("h", np.uint64), ("whole", np.int64), ("toxic", np.int64), ("clean", np.int64)]
+        held, size = [np.zeros(0, kind)], 0
 
-        def rows():
-            words = list(set(counts[0]) | set(counts[1]))
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], names=["word", "toxic", "clean"])
-            counts[0].clear(), counts[1].clear()
-            return out
+        def rows(x: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["h"]).view(np.int64)), *(pa.array(np.ascontiguousarray(x[c])) for c in ("whole", "toxic", "clean"))], names=["token", "whole", "toxic", "clean"])
 
         for batch in batches:
             for part in slices(batch):
-                for text, y in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("toxic").to_pylist()):
-                    counts[int(y)].update((text or b"").translate(WORD_TABLE).split())
-                if len(counts[0]) + len(counts[1]) > 300_000:
-                    yield rows()
-        yield rows()
-
-    sent = labelled.select("text", "toxic").mapInArrow(run, "word binary, toxic long, clean long")
-    return sent.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+                found, off = tokens(part.column("text"))
+                of_word = rows_of(off).astype(np.uint64)
+                y = np.array(part.column("toxic").to_pylist(), np.int64)
+                for k, (at, h) in enumerate(found):
+                    _, pick = np.unique(mix(h + of_word[at] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+                    own = np.zeros(len(pick), kind)
+                    own["h"], own["whole"], own["toxic"] = h[pick], k == 0, y[of_word[at[pick]].astype(np.int64)]
+                    own["clean"] = 1 - own["toxic"]
+                    held.append(own)
+                    size += len(own)
+                if size > 2 * HELD:
+                    held = [merged(held)]
+                    size = len(held[0])
+                    if size > HELD:
+                        yield rows(held[0])
+                        held, size = [np.zeros(0, kind)], 0
+        yield rows(merged(held))
+
+    sent = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "token long, whole long, toxic long, clean long")
+    return sent.groupBy("token").agg(F.max("whole").alias("whole"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def extreme_value(p_positive: dict[float, float]) -> tuple[float, float]:
@@ -186,7 +244,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("text", pa.string())]))
         for batch in batches:
             for part in slices(batch):
-                _, found = m.passages(part.column("text"))
+                found = m.passages(part.column("text"))
                 evidence = np.array([sum(x for _, _, x in f) for f in found], float)
                 p = m.probability(evidence)
                 texts = [_passages(part.column("text")[k].as_py(), f) if f else [] for k, f in enumerate(found)]
@@ -198,20 +256,20 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def _passages(text: str, found: list[tuple[int, int, float]]) -> list[dict]:
     """The passages' own bytes in the text."""
-    from .textbatch import LOWER, word_spans
-
     data = text.encode()
     starts, ends, _ = word_spans(LOWER[np.frombuffer(data, np.uint8)], np.array([0, len(data)]))
     return [{"first": int(a), "last": int(b), "score": float(x), "text": data[starts[a] : ends[b]].decode()} for a, b, x in found]
 
 
-def train(labelled: DataFrame) -> Model:
-    """labelled: doc_id, text and toxic (0 or 1) of the rows to learn from; all of them are counted."""
-    labelled = labelled.where("toxic IN (0, 1)").select("doc_id", "text", "toxic")
-    counts = word_counts(labelled).persist()
-    n1, n0 = (int(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """docs: doc_id and text; labels: doc_id and toxic (0 or 1) of the documents to learn from; all of them are counted."""
+    own = labels.where("toxic IN (0, 1)").groupBy(doc_key().alias("_doc")).agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(doc_key().alias("_doc"), "text")
+    # both sides are dealt at every size: labels grow with the documents
+    counts = cut(token_counts(texts.hint("merge").join(own, "_doc")))
+    n1, n0 = (int(x or 0) for x in counts.where("whole = 1").agg(F.sum("toxic"), F.sum("clean")).first())
     n = n1 + n0
-    words: dict[bytes, float] = {}
+    scores: dict[int, float] = {}
     shares: dict[float, float] = {}
     if n1 and n0:
         y1, y0 = F.col("toxic"), F.col("clean")
@@ -219,26 +277,20 @@ def train(labelled: DataFrame) -> Model:
         odds = lambda y, n_y: F.log((y + prior) / (F.lit(n_y + PRIOR * n) - y - prior))
         delta = odds(y1, n1) - odds(y0, n0)
         z = delta / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
-        found = counts.select("word", "clean", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= Z)
-        rows = found.orderBy(F.abs("z").desc(), "word").limit(MAX_WORDS).collect()
-        words = {bytes(r.word): max(-CAP, min(CAP, r.delta)) for r in rows}
-        for r in rows:
-            s = round(words[bytes(r.word)] - DRIFT, 3)
-            shares[s] = shares.get(s, 0.0) + (r.clean + 0.5) / n0
-    counts.unpersist()
-    model = Model(words, *(extreme_value(shares) if shares else (1.0, 1.0)))
-    step = F.least(F.floor(F.col("evidence") * STEPS), F.lit(MAX_EVIDENCE * STEPS)) / STEPS
-    bins = scored(labelled, model).groupBy(step.alias("x")).agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1")).collect()
-    if bins:
-        model.slope, model.shift = _logistic([(r.x, r.n0, r.n1) for r in bins])
+        found = counts.where("toxic + clean > 1").select("token", "whole", "clean", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= Z)
+        for r in found.orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).collect():
+            d = max(-CAP, min(CAP, r.delta))
+            scores[r.token % (1 << 64)] = d
+            if r.whole:
+                shares[round(d - DRIFT, 3)] = shares.get(round(d - DRIFT, 3), 0.0) + (r.clean + 0.5) / n0
+    model = Model(scores, *(extreme_value(shares) if shares else (1.0, 1.0)))
+    if scores:
+        step = F.least(F.floor(F.col("evidence") * STEPS), F.lit(MAX_EVIDENCE * STEPS)) / STEPS
+        seen = scored(texts, model).select("_doc", step.alias("x")).hint("merge").join(own, "_doc")
+        model.slope, model.shift = _logistic([(r.x, r.n0, r.n1) for r in seen.groupBy("x").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1")).collect()])
     return model
 
 
 def held_out(fold: int = 1, folds: int = 3):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
-
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and toxic of labelled documents that aren't held out; the labels are dealt, not broadcast."""
-    own = labels.select("doc_id", "toxic").where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(~held_out()).join(own, "doc_id")
