@@ -29,6 +29,8 @@ from .textbatch import LOWER, WORD, column_bytes, slices
 
 #: Bound of the training sample for each language.
 PER_LANG = 400
+#: Languages that the model knows at most, the most frequent ones.
+MAX_LANGS = 1000
 LANDMARKS = 128
 DIMS = 1 << 14
 RIDGE = 1e-2
@@ -91,12 +93,14 @@ class Model:
 def training_sample(labelled: DataFrame, per_lang: int = PER_LANG) -> list:
     """(key, lang, text) of about per_lang rows of each language, or all, in the order of the keys."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = labelled.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))
-    picked = labelled.join(counts.select("lang", share.alias("_share")), "lang")
+    counts = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))])
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    picked = labelled.where(at < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
     key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "text"))
-    rows = picked.where(at < F.col("_share")).select(key.alias("key"), "lang", "text").collect()
+    rows = picked.select(key.alias("key"), "lang", "text").collect()
     return sorted((r.key, r.lang, r.text) for r in rows)
 
 
