@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
-
-    The folder is spark.checkpoint.dir of the session; only where that is
-    unset (local tests) is a temporary folder of this machine used.
-    """
-    sc = df.sparkSession.sparkContext
+def set_checkpoint_dir(sc) -> None:
+    """Use spark.checkpoint.dir; only where that is unset (local tests) a temporary folder of this machine."""
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -26,9 +23,43 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         sc.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    set_checkpoint_dir(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 
 def doc_key(column: str = "doc_id"):
     """A join key that is never null."""
     return F.coalesce(F.col(column).cast("string"), F.lit("~null"))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """A function that writes a table to the shared folder and rereads it; all are deleted at the end.
+
+    For compact columnar intermediates: what is returned to the caller must
+    have been cut before the end.
+    """
+    sc = spark.sparkContext
+    set_checkpoint_dir(sc)
+    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+    count = iter(range(1 << 30))
+
+    def put(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(count)}"
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield put
+    finally:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def merge_dealt(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join whatever the sizes, for sides that both grow with the input."""
+    return left.join(right.hint("merge"), on, how)

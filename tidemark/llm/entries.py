@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, lm, near_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, langid, lm, near_dedup, repeats, toxicity
 from .common import table
 
 #: The vocabulary of the BPE queries: its file's name in the folder of public tokenizers.
@@ -36,6 +36,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary(), with_ids=False)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -61,5 +66,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_lm_scoring, op3_language_id, op5_byte_bpe, op7_exact_dedup, op9_near_dedup, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_lm_scoring, op3_language_id, op4_repeats, op5_byte_bpe, op7_exact_dedup, op9_near_dedup, op10_toxicity)}
 ORACLE_SQL = {"op1_decontamination": decontaminate.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
