@@ -35,7 +35,7 @@ from .textbatch import slices
 #: The character of byte 0; the others follow.
 FIRST_CHAR = 0x100
 #: Pieces whose ids are kept at once.
-KEPT = 200_000
+KEPT = 400_000
 _TO_CHARS = {b: FIRST_CHAR + b for b in range(256)}
 _NOT_SINGLE = re.compile(r"\s | \s")
 
@@ -101,13 +101,14 @@ class ByteBPE:
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
     def _learn(self, parts: set[str]) -> None:
-        """Encode parts that aren't kept; all their matches go through one call."""
-        matches = [[m.encode() for m in self.find(p)] for p in parts]
-        new = [m for m in set(chain.from_iterable(matches)) if m not in self.ranks]
-        merged = dict(zip(new, self.sp.encode([chars(m) for m in new]))) if new else {}
-        for p, own in zip(parts, matches):
-            ids = list(chain.from_iterable([self.ranks[m]] if m in self.ranks else merged[m] for m in own))
-            self.kept[p] = np.array(ids, "<u4").tobytes()
+        """Encode parts that aren't kept; matches that aren't tokens go through one call."""
+        matches = [[p] if p.isalpha() or p[0] == " " and p[1:].isalpha() else self.find(p) for p in parts]
+        one = {m: self.ranks.get(m.encode()) for m in chain.from_iterable(matches)}
+        new = [m for m, r in one.items() if r is None]
+        made = dict(zip(new, map(_packed, self.sp.encode([chars(m.encode()) for m in new], num_threads=1)))) if new else {}
+        made.update((m, _packed([r])) for m, r in one.items() if r is not None)
+        ids = made.__getitem__
+        self.kept.update((p, ids(own[0]) if len(own) == 1 else b"".join(map(ids, own))) for p, own in zip(parts, matches))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -115,8 +116,7 @@ class ByteBPE:
         parts = set(chain.from_iterable(cut))
         missing = parts.difference(self.kept)
         if missing and len(self.kept) + len(missing) > KEPT:
-            self.kept.clear()
-            missing = parts
+            self.kept = {p: self.kept[p] for p in parts - missing}
         if missing:
             self._learn(missing)
         kept = self.kept.__getitem__
@@ -126,6 +126,10 @@ class ByteBPE:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 _made: dict[str, ByteBPE] = {}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, lm, near_dedup, repeats, toxicity
+from . import bpe, decontaminate, exact_dedup, langid, lm, near_dedup, packing, preference, repeats, toxicity
 from .common import table
 
 #: The vocabulary of the BPE queries: its file's name in the folder of public tokenizers.
@@ -46,6 +46,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), *vocabulary())
+    return packed.select("sequence_id", "n_tokens", "n_segments", "cu_seqlens", "doc_ids", "starts", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
+
+
+def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    pairs = preference.format_pairs(conversations, preference.paired_by_id(conversations))
+    mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["length"].cast("string"), F.when(s["train"], "+").otherwise("-"))), ",").alias(c)
+    return pairs.select("pair_id", "chosen_id", "rejected_id", "n_common", "prompt", "chosen", "rejected", mask("chosen_mask"), mask("rejected_mask"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -66,5 +78,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_lm_scoring, op3_language_id, op4_repeats, op5_byte_bpe, op7_exact_dedup, op9_near_dedup, op10_toxicity)}
-ORACLE_SQL = {"op1_decontamination": decontaminate.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_lm_scoring, op3_language_id, op4_repeats, op5_byte_bpe, op6_packing, op7_exact_dedup, op8_preference, op9_near_dedup, op10_toxicity)}
+ORACLE_SQL = {"op1_decontamination": decontaminate.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_preference": preference.ORACLE}
