@@ -1,17 +1,56 @@
-"""A training-corpus pipeline over the documents table."""
+"""A training-corpus pipeline over the documents table.
+
+Five stages, each over all rows that its predecessor kept:
+
+  language   documents whose language isn't recognised go (op 3)
+  exact      of equal texts one row stays (op 7)
+  near       of near-duplicates one document stays (op 9)
+  benchmark  documents in which a benchmark window occurs go (op 1)
+  encode     texts become token ids, decoded again as a check (op 5)
+
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidemark.llm import bpe, decontaminate, exact_dedup, langid, near_dedup
+from tidemark.llm.common import cut, scratch
+from tidemark.llm.entries import vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
+    return langid.known_language(docs, model)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, *vocabulary())
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("benchmark", benchmark), ("encode", encode)]
 
 #: Language prediction and near-duplicate search have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each result is a Parquet table in the shared folder and the next stage's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    with scratch(spark) as put:
+        for _, stage in STAGES[:-1]:
+            docs = put(stage(spark, docs, sf_dir))
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
