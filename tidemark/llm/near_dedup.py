@@ -19,11 +19,14 @@ candidates.  A pair at similarity 0.8 is missed by all bands with probability
 Verification computes the similarity of candidates exactly from their texts,
 and only pairs of at least THRESHOLD are links; classes are the connected
 components of the links.  No bucket is ever expanded into all pairs, nor
-collected: texts with the same words count as one; first every text of a
-bucket is compared with the bucket's least text only, and the components of
-these links are formed.  Then only buckets whose texts still lie in several
-components are left, and in these the pairs across components are compared
-(buckets over SMALL texts are first divided by a second shared band).
+collected.  Texts with the same words count as one.  First every text of a
+bucket is compared with one leader only, and the components of these links are
+formed; large buckets whose texts still lie in several components do so
+again with LEADERS other leaders.  What is left is compared in blocks: in
+each bucket the texts outside its most frequent component meet all others,
+by their signatures first (a pair at similarity 0.8 agrees in less than
+ESTIMATE of the registers with probability 7e-5), and the pairs that pass are
+verified.
 
 Cases: null and empty texts and texts without words have no shingle and are
 classes of their own; texts with the same words are in one class whatever
@@ -41,15 +44,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, doc_key
+from .common import cut, doc_key, merge_dealt, scratch
 from .textbatch import mix, rows_of, slices, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Buckets of more texts in several components are divided by a second band first.
-SMALL = 50
+#: Larger buckets in several components get so many further leaders first.
+SMALL, LEADERS = 50, 3
+#: Share of equal registers from which a pair is verified; texts of a block that meet at once.
+ESTIMATE, BLOCK = 0.66, 512
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -90,7 +95,7 @@ def signatures(element: np.ndarray, weight: np.ndarray, row: np.ndarray, rows: i
     step = 0
     while len(element):
         step += 1
-        draw = mix(element * _ODD[0] + np.uint64(step) * _ODD[1])
+        draw = mix(element * _ODD[0] + np.uint64(step * int(_ODD[1]) % (1 << 64)))
         time = time - np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weight
         go = time < limit[row]
         if not go.all():
@@ -152,16 +157,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
-def verify(pairs: DataFrame, people: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold.
-
-    people: rep, _doc, _t of all texts.  Texts move once, to the ids that are
-    in a pair; then the texts of pairs meet.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = people.join(ids, "rep").select("rep", "_doc", "_t")
-    texts = docs.select(doc_key().alias("_doc"), F.xxhash64("text").alias("_t"), "text").join(wanted, ["_doc", "_t"]).select("rep", "text")
-    texts = cut(texts)
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose similarity reaches the threshold. texts: rep and text."""
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -199,69 +196,121 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             moved = to.select(F.col("rep").alias("root"), "to")
             roots = roots.join(moved, "root", "left").select("rep", F.coalesce("to", "root").alias("root"))
-        roots = cut(roots)
     return roots if roots is not None else edges.select(F.col("a").alias("rep"), F.col("b").alias("root"))
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """h (bucket) and rep, a row for each band."""
-    return reps.where("b0 IS NOT NULL").select("rep", F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("h"))
-
+    """rep, band and h (bucket), a row for each band."""
+    rows = reps.where("b0 IS NOT NULL").select("rep", F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "key"))
+    return rows.select("rep", "band", F.xxhash64("band", "key").alias("h"))
+
+
+def _placed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    return buckets.join(roots, "rep", "left").select("h", "band", "rep", F.coalesce("root", "rep").alias("root"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of both together."""
+    of = lambda c: roots.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    second = components(lifted)
+    moved = second.select(F.col("rep").alias("root"), F.col("root").alias("to"))
+    old = roots.join(moved, "root", "left").select("rep", F.coalesce("to", "root").alias("root"))
+    return cut(old.union(second.join(roots.select("rep"), "rep", "left_anti").select("rep", "root")))
+
+
+def _blocks(placed: DataFrame, texts: DataFrame, estimate: float, block: int) -> DataFrame:
+    """Pairs (a, b) across components of a bucket whose signatures agree enough; each pair in its first common bucket."""
+    by_root = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by_root.groupBy("h").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("most"))
+    open_ = sizes.where("n > 2 AND roots > 1").select("h", F.ceil(F.col("n") / block).alias("nm"), F.ceil((F.col("n") - F.col("most.c")) / block).alias("nu"), F.col("most.root").alias("most"))
+    rows = cut(placed.join(open_, "h"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    few = rows.where("root <> most").withColumn("ub", place("nu")).withColumn("mb", every("nm")).withColumn("few", F.lit(True))
+    many = rows.withColumn("mb", place("nm")).withColumn("ub", every("nu")).withColumn("few", F.lit(False))
+    dealt = few.select("h", "ub", "mb", "band", "rep", "root", "few").union(many.select("h", "ub", "mb", "band", "rep", "root", "few"))
+
+    def sign(batches):
+        for batch in batches:
+            for part in slices(batch):
+                sig = signatures(*weighted(*word_hashes(part.column("text"))), part.num_rows).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([row.tobytes() for row in sig], pa.binary())], names=["rep", "sig"])
+
+    signed = texts.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(sign, "rep long, sig binary")
+    grouped = dealt.join(signed, "rep").select("h", "ub", "mb", "band", "rep", "root", "few", "sig").repartition("h", "ub", "mb").sortWithinPartitions("h", "ub", "mb")
+
+    def meet(group: list[tuple]) -> list[tuple]:
+        band = group[0][3]
+        some, all_ = ([g for g in group if g[6] == flag] for flag in (True, False))
+        if not some or not all_:
+            return []
+        m = np.frombuffer(b"".join(g[7] for g in all_), np.uint32).reshape(-1, REGISTERS)
+        rep, root = (np.array([g[k] for g in all_]) for k in (4, 5))
+        inside = np.isin(rep, [g[4] for g in some])
+        out = []
+        for g in some:
+            same = m == np.frombuffer(g[7], np.uint32)
+            near = (same.mean(axis=1) >= estimate) & (root != g[5]) & (~inside | (rep > g[4]))
+            for k in np.flatnonzero(near):
+                if same[k].reshape(BANDS, ROWS).all(axis=1).argmax() == band:
+                    out.append((min(g[4], int(rep[k])), max(g[4], int(rep[k]))))
+        return out
 
-def _across(buckets: DataFrame, small: int) -> DataFrame:
-    """Pairs a < b of texts that share a bucket and lie in different components.
+    def run(batches):
+        key, group = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != key:
+                    out += meet(group) if group else []
+                    key, group = row[:3], []
+                group.append(row)
+            yield _pairs(out)
+        yield _pairs(meet(group) if group else [])
 
-    buckets: h, rep, root.  Buckets of more than `small` texts are divided
-    into the further bands that their texts share, and these are expanded.
-    """
-    open_ = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("rep").alias("least")).where("n > 2 AND r0 <> r1")
-    rows = cut(buckets.join(open_.select("h", "n", "least"), "h").where("rep <> least"))  # the least text has met all others
+    return grouped.mapInArrow(run, "a long, b long").distinct()
 
-    def expand(rows: DataFrame, key: list[str]) -> DataFrame:
-        x = rows.select(*key, F.col("rep").alias("a"), F.col("root").alias("ra"))
-        y = rows.select(*key, F.col("rep").alias("b"), F.col("root").alias("rb"))
-        return x.join(y, key).where("a < b AND ra <> rb").select("a", "b")
 
-    pairs = expand(rows.where(F.col("n") <= small), ["h"])
-    large = rows.where(F.col("n") > small)
-    if not large.isEmpty():
-        again = large.select("rep", "root", "h").join(buckets.select("rep", F.col("h").alias("h2")), "rep").where("h <> h2")
-        both = again.select("rep", "root", F.xxhash64(F.least("h", "h2"), F.greatest("h", "h2")).alias("g")).distinct()
-        several = both.groupBy("g").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("g")
-        pairs = pairs.union(expand(cut(both.join(several, "g")), ["g"]))
-    return pairs.distinct()
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, leaders: int = LEADERS, estimate: float = ESTIMATE, block: int = BLOCK) -> DataFrame:
     """doc_id, _t, class_id (least doc_id), class_size and kept (one row of each class) of every row."""
-    made = cut(sketches(docs).withColumn("uid", F.monotonically_increasing_id()))
-    grouped = made.groupBy("k0", "k1").agg(F.min("uid").alias("rep"), *[F.max(f"b{b}").alias(f"b{b}") for b in range(BANDS)])
-    reps = cut(grouped)
-    people = made.select(F.col("uid").alias("rep"), doc_key().alias("_doc"), "_t")
-    buckets = cut(_buckets(reps))
-    least = buckets.groupBy("h").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "b")
-    # one more key than the aggregation has, so that the planner may split hot buckets
-    star = buckets.select("h", F.hash("h").alias("g"), F.col("rep").alias("a")).join(least.select("h", F.hash("h").alias("g"), "b"), ["h", "g"])
-    pairs = cut(star.where("a <> b").select("a", "b").distinct())
-    links = verify(pairs, people, docs, threshold)
-    roots = components(links)
-    placed = buckets.join(roots, "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("root"))
-    more = _across(placed, small).join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = cut(more)
-    if not more.isEmpty():
-        found = verify(more, people, docs, threshold)
-        roots_of = lambda c: roots.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}"))
-        lifted = found.join(roots_of("a"), "a", "left").join(roots_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        second = components(lifted).select(F.col("rep").alias("_r"), F.col("root").alias("to"))
-        every = roots.select("rep", "root").union(second.select(F.col("_r").alias("rep"), F.col("_r").alias("root"))).groupBy("rep").agg(F.min("root").alias("root"))
-        roots = cut(every.join(second, F.col("root") == F.col("_r"), "left").select("rep", F.coalesce("to", "root").alias("root")))
-    of_words = reps.select("k0", "k1", "rep").join(roots, "rep", "left").select("k0", "k1", F.xxhash64("k0").alias("_g"), F.coalesce("root", "rep").alias("root"))
-    mine = made.select("uid", "doc_id", "_t", "k0", "k1", F.xxhash64("k0").alias("_g"), F.col("b0").isNull().alias("wordless"))
-    placed = cut(mine.join(of_words, ["k0", "k1", "_g"]).select("uid", "doc_id", "_t", F.when(F.col("wordless"), F.col("uid")).otherwise(F.col("root")).alias("root")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("first")
-    classes = placed.groupBy("root").agg(first, F.count(F.lit(1)).alias("class_size"))
-    out = placed.withColumn("_g", F.hash("root")).join(classes.withColumn("_g", F.hash("root")), ["root", "_g"])
-    return out.select("doc_id", "_t", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"))
+    with scratch(docs.sparkSession) as put:
+        made = put(sketches(docs).withColumn("uid", F.monotonically_increasing_id()))
+        reps = put(made.groupBy("k0", "k1").agg(F.min("uid").alias("rep"), *[F.max(f"b{b}").alias(f"b{b}") for b in range(BANDS)]))
+        buckets = put(_buckets(reps))
+        least = buckets.groupBy("h").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "b")
+        # one more key than the aggregation has, so that the planner may split hot buckets
+        star = buckets.select("h", F.hash("h").alias("g"), F.col("rep").alias("a")).join(least.select("h", F.hash("h").alias("g"), "b"), ["h", "g"])
+        pairs = put(star.where("a <> b").select("a", "b").distinct())
+        # the texts of all candidates meet their ids once
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        wanted = made.select(F.col("uid").alias("rep"), doc_key().alias("_doc"), "_t").join(ids, "rep")
+        texts = docs.select(doc_key().alias("_doc"), F.xxhash64("text").alias("_t"), "text")
+        texts = put(merge_dealt(texts, wanted, ["_doc", "_t"]).select("rep", "text").dropDuplicates(["rep"]))
+        roots = components(verify(pairs, texts, threshold))
+        roots = cut(roots)
+        placed = _placed(buckets, roots)
+        order = lambda k: F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "root")).alias(f"l{k}")
+        sizes = placed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), *[order(k) for k in range(leaders)])
+        large = sizes.where(f"n > {small} AND r0 <> r1").select("h", F.explode(F.array(*[f"l{k}" for k in range(leaders)])).alias("l")).select("h", F.col("l.rep").alias("b"), F.col("l.root").alias("rb"))
+        large = cut(large.distinct())
+        if not large.isEmpty():
+            more = placed.join(large, "h").where("root <> rb").select(F.col("rep").alias("a"), "b").distinct()
+            roots = _merged(roots, verify(more, texts, threshold))
+        left = put(_blocks(_placed(buckets, roots), texts, estimate, block))
+        if not left.isEmpty():
+            roots = _merged(roots, verify(left, texts, threshold))
+        of_words = reps.select("k0", "k1", "rep").join(roots, "rep", "left").select("k0", "k1", F.xxhash64("k0").alias("_g"), F.coalesce("root", "rep").alias("root"))
+        mine = made.select("uid", "doc_id", "_t", "k0", "k1", F.xxhash64("k0").alias("_g"), F.col("b0").isNull().alias("wordless"))
+        placed = put(mine.join(of_words, ["k0", "k1", "_g"]).select("uid", "doc_id", "_t", F.when(F.col("wordless"), F.col("uid")).otherwise(F.col("root")).alias("root")))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("first")
+        classes = placed.groupBy("root").agg(first, F.count(F.lit(1)).alias("class_size"))
+        out = placed.withColumn("_g", F.hash("root")).join(classes.withColumn("_g", F.hash("root")), ["root", "_g"])
+        return cut(out.select("doc_id", "_t", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
