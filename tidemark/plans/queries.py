@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
@@ -578,13 +578,13 @@ def store_summary(spark, sf):
     return rounded(store.store_summary(bars))
 
 
-@query("purged_kfold", "WITH s AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders), n AS (SELECT count(*) AS n FROM s), f AS (SELECT k AS fold, n * k // 5 AS lo, n * (k + 1) // 5 AS hi FROM n, unnest(range(0, 5)) AS u(k)), x AS (SELECT fold, CASE WHEN idx >= lo AND idx < hi THEN 'test' WHEN idx < lo - 2 OR idx >= hi + 5 THEN 'train' END AS role, idx FROM s, f) SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n, CAST(min(idx) AS BIGINT) AS first, CAST(max(idx) AS BIGINT) AS last FROM x WHERE role IS NOT NULL GROUP BY 1, 2")
+@query(
+    "purged_kfold",
+    f"WITH {DAILY}, s AS (SELECT DISTINCT bar_idx AS idx FROM panel), n AS (SELECT count(*) AS n FROM s), f AS (SELECT k AS fold, n * k // 5 AS lo, n * (k + 1) // 5 AS hi FROM n, unnest(range(0, 5)) AS u(k)), x AS (SELECT fold, CASE WHEN idx >= lo AND idx < hi THEN 'test' WHEN idx < lo - 2 OR idx >= hi + 5 THEN 'train' END AS role, idx FROM s, f) SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n, CAST(min(idx) AS BIGINT) AS first, CAST(max(idx) AS BIGINT) AS last FROM x WHERE role IS NOT NULL GROUP BY 1, 2",
+)
 def purged_kfold(spark, sf):
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
-    n = orders.count()
-    # positions of a large table: range partitions are numbered from the counts before them
-    rows = orders.select("o_orderkey").withColumn("idx", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long"))
-    return validate.purged_kfold(rows, n, 5, 5, 3).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+    samples = daily(spark, sf).select(F.col("bar_idx").alias("idx")).distinct()
+    return validate.purged_kfold(samples, samples.count(), 5, 5, 3).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
 
 
 GRID = (10, 20, 40)
