@@ -79,4 +79,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_decontamination, op2_lm_scoring, op3_language_id, op4_repeats, op5_byte_bpe, op6_packing, op7_exact_dedup, op8_preference, op9_near_dedup, op10_toxicity)}
-ORACLE_SQL = {"op1_decontamination": decontaminate.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_preference": preference.ORACLE}
+ORACLE_SQL = {"op1_decontamination": decontaminate.ORACLE, "op4_repeats": repeats.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_preference": preference.ORACLE}

@@ -364,3 +364,18 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) ->
         groups = put(_scan(rows, length, core, groups=True))
         own = merge_dealt(found.select("key", "f", "_doc", "_t", "at"), groups, ["key", "f"])
         return cut(own.select("repeat", (F.col("l") + F.col("r")).cast("long").alias("n_bytes"), "n", F.col("_doc").alias("doc_id"), (F.col("at") - F.col("l")).alias("start")))
+
+
+#: Every window of 400 bytes, as hexadecimal digits: for small tables.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM d, unnest(range(0, greatest(n - 399, 0))) AS u(i)),
+t AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 400 THEN 0 ELSE 1 END AS new FROM p JOIN t USING (k) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, run),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+x AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
