@@ -177,3 +177,38 @@ def test_toxicity(spark):
     none = toxicity.train(odd(spark), docs.where("false").select("doc_id", "toxic"))
     assert toxicity.scored(odd(spark), none).where("score > 0.1").count() == 0
     assert toxicity.scored(empty(spark), model).count() == 0
+
+
+def test_lm_words_of_a_bucket_have_their_own_probability(spark):
+    """With production parameters: frequent, rare, unseen and random words outside the vocabulary differ, whether broadcast or joined."""
+    rng = random.Random(7)
+    say = lambda: "".join(rng.choice(["ba", "ko", "ri", "ten", "mu"]) for _ in range(4))
+    rare = sorted({say() for _ in range(600)})
+    lines = [" ".join([*(f"top{k}" for k in rng.sample(range(lm.VOCABULARY), 40)), *rng.choices(rare, range(1, len(rare) + 1), k=6)]) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    count = {}
+    for w in " ".join(lines).split():
+        count[w] = count.get(w, 0) + 1
+    net = lm.train(docs)
+    top = {bytes(w) for w in (x.encode() for x in sorted(count, key=lambda w: (-count[w], w))[: lm.VOCABULARY])}
+    other = [w for w in count if w.encode() not in top]
+    bucket = {w: int(net.ids(np.array([lm.hash_word(w.encode())], np.uint64))[0]) for w in other}
+    assert min(bucket.values()) >= lm.VOCABULARY
+    often = max(other, key=count.get)
+    seldom = min((w for w in other if bucket[w] == bucket[often]), key=count.get)
+    alike = lambda make: next(w for w in iter(make, None) if w not in count and int(net.ids(np.array([lm.hash_word(w.encode())], np.uint64))[0]) == bucket[often])
+    unseen, noise = alike(lambda: say() + say()), alike(lambda: "".join(rng.choice("qxzjwv0987") for _ in range(12)))
+    asked = spark.createDataFrame(list(enumerate([often, seldom, unseen, noise, f"{unseen} {unseen}", *lines[:20]])), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(asked, net).collect()}
+    assert count[often] > count[seldom]
+    assert got[0].log_prob > got[1].log_prob > got[2].log_prob > got[3].log_prob
+    assert abs((got[0].log_prob - got[1].log_prob) - np.log((count[often] - 0.5) / (count[seldom] - 0.5))) < 0.05
+    assert got[4].n_words == 2 and len(got) == asked.count()
+    joined = lm.train(docs, head=3)
+    assert joined.tail.count() > 0 and len(joined.rare.hashes) <= 3
+    for r in lm.score_documents(asked, joined).collect():
+        assert abs(r.log_prob - got[r.doc_id].log_prob) < 1e-2 * abs(r.log_prob)
+    for b in set(bucket.values()):
+        mine = [w for w in other if bucket[w] == b]
+        total = sum(count[w] for w in mine)
+        assert abs(net.rare.total[b - lm.VOCABULARY] - total) < 1e-9 and net.rare.distinct[b - lm.VOCABULARY] == len(mine)

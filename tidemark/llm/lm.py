@@ -4,9 +4,14 @@ Every word of a text is predicted from the K words on either side by a small
 bidirectional window network (embeddings, one tanh layer, softmax), written in
 numpy; the sum of the conditional log-probabilities scores the document.
 
-The alphabet is the VOCABULARY most frequent words of the whole corpus plus
-BUCKETS hash buckets for all other words.  Word counts cover all documents and
-are summed in Spark.  The network is trained on all documents too: in every
+The network's classes are the VOCABULARY most frequent words of the whole
+corpus and BUCKETS hash buckets.  A word outside the vocabulary has probability
+P(bucket | context) x P(word | bucket): the second factor comes from the counts
+of all words, discounted by DISCOUNT, and what the discount frees goes to a
+spelling model (byte pairs of the distinct words), so that unseen words have a
+probability of their own too.  The shares of a bucket's words sum to 1 at most.
+Word counts cover all documents and are summed in Spark; about HEAD frequent
+words are broadcast, all others reach the texts by a join.  The network is trained on all documents too: in every
 round each task starts from the same weights, walks through its own documents
 once, masks a share of the places (picked by a hash of round, place and the
 task's stream), and sends its weights with the number of places it has seen;
@@ -26,10 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import WORD_TABLE, hash_word, mix, rows_of, slices, word_hashes
+from .common import cut, merge_dealt
+from .textbatch import LOWER, WORD_HASH, WORD_TABLE, column_bytes, hash_word, mix, rows_of, slices, word_hashes, word_spans
 
 VOCABULARY = 192
 BUCKETS = 63
+#: Taken off the count of each word of a bucket.
+DISCOUNT = 0.5
+#: Words whose shares are broadcast, about; the others are joined.
+HEAD = 1 << 18
 #: Words on either side.
 K = 3
 DIM, HIDDEN = 12, 32
@@ -61,8 +71,53 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+#: Number of the border of a word among the bytes.
+_BORDER = 256
+
+
+def _pairs(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of the byte pairs of the words: first each border and first byte, then last bytes, then pairs inside."""
+    inside = np.zeros(len(lower) + 1, np.int64)
+    inside[starts + 1] += 1
+    inside[ends] -= 1
+    at = np.flatnonzero(np.cumsum(inside[: len(lower)]))
+    x = lower.astype(np.int64)
+    return np.concatenate([_BORDER * 257 + x[starts], x[ends - 1] * 257 + _BORDER, x[at - 1] * 257 + x[at]])
+
+
+class Rare:
+    """What is known of the words outside the vocabulary, but for the joined ones."""
+
+    def __init__(self, buckets: int):
+        self.total, self.distinct = np.zeros(buckets), np.zeros(buckets)
+        self.pairs = np.zeros(257 * 257)
+        self.hashes, self.shares = np.zeros(0, np.uint64), np.zeros(0)
+        self.finish()
+
+    def finish(self) -> None:
+        seen = self.total > 0
+        self.freed = np.where(seen, np.log(np.where(seen, DISCOUNT * self.distinct, 1) / np.maximum(self.total, 1)), 0.0)
+        n = self.pairs.reshape(257, 257) + 0.01
+        self.spell = np.log(n / n.sum(axis=1, keepdims=True))
+
+    def spelled(self, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log-probability of each word's spelling."""
+        if not len(starts):
+            return np.zeros(0)
+        upto = np.zeros(len(lower))
+        np.cumsum(self.spell[lower[:-1], lower[1:]], out=upto[1:])
+        return self.spell[_BORDER, lower[starts]] + upto[ends - 1] - upto[starts] + self.spell[lower[ends - 1], _BORDER]
+
+    def head(self, hashes: np.ndarray) -> np.ndarray:
+        """The discounted share of each word, 0 if it isn't broadcast."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.shares[at], 0.0)
+
+
 class Network:
-    """The alphabet and the weights."""
+    """The alphabet and the weights; rare and tail (h and share of the words that are joined) describe all other words."""
 
     def __init__(self, words: list[bytes], buckets: int = BUCKETS):
         h = np.array([hash_word(w) for w in words], np.uint64)
@@ -70,6 +125,7 @@ class Network:
         self.hashes = h[self.order]
         self.words, self.buckets = len(words), buckets
         self.size = len(words) + buckets
+        self.rare, self.tail = Rare(buckets), None
         rng = np.random.default_rng(5)
         width = 2 * K * DIM
         # one more embedding stands for places outside the text
@@ -79,6 +135,9 @@ class Network:
         self.w2 = rng.normal(0, 0.1 * HIDDEN**-0.5, (HIDDEN, self.size)).astype(np.float32)
         self.b2 = np.zeros(self.size, np.float32)
 
+    def __getstate__(self):
+        return self.__dict__ | {"tail": None}  # a table stays with the driver
+
     def weights(self) -> list[np.ndarray]:
         return [self.emb, self.w1, self.b1, self.w2, self.b2]
 
@@ -134,16 +193,30 @@ class Network:
             s += g * g
             w -= (RATE * 0.1) * g / (np.sqrt(s) + 1e-6)
 
-    def score(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words and summed log-probability of each row."""
-        hashes, off = word_hashes(col)
+    def score(self, col: pa.Array) -> tuple[np.ndarray, ...]:
+        """Words and summed log-probability of each row, without the words that must be joined; of these row, hash, number and the log-probability as unseen words."""
+        buf, off = column_bytes(col)
+        lower = LOWER[buf]
+        starts, ends, off = word_spans(lower, off)
+        hashes = mix(WORD_HASH.spans(WORD_HASH.prefix(lower), starts, ends))
         ids, row = self.ids(hashes), rows_of(off)
         out = np.zeros(len(off) - 1)
         for a in range(0, len(ids), PLACES):
             places = np.arange(a, min(a + PLACES, len(ids)))
             lp = self.log_probs(self.contexts(ids, off, places, row[places]), ids[places])
             out += np.bincount(row[places], lp, len(out))
-        return np.diff(off), out
+        other = np.flatnonzero(ids >= self.words)
+        unseen = self.rare.spelled(lower, starts[other], ends[other]) + self.rare.freed[ids[other] - self.words]
+        share = self.rare.head(hashes[other])
+        known = share > 0
+        out += np.bincount(row[other[known]], np.log(share[known] + np.exp(unseen[known])), len(out))
+        left, unseen = other[~known], unseen[~known]
+        order = np.lexsort((hashes[left], row[left]))
+        r, h = row[left][order], hashes[left][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+        first = np.flatnonzero(new)
+        return np.diff(off), out, r[first], h[first], np.diff(np.append(first, len(order))), unseen[order[first]]
 
 
 def _train_round(docs: DataFrame, network: Network, number: int) -> DataFrame:
@@ -189,10 +262,60 @@ def _mean(batches):
         yield _weights_row((total / n).tobytes(), n)
 
 
-def train(docs: DataFrame, vocabulary: int = VOCABULARY, buckets: int = BUCKETS, rounds: int = ROUNDS) -> Network:
+def _learn_rare(counts: DataFrame, network: Network, head: int) -> None:
+    """Sets rare and tail of the network from the counts of all words."""
+    shared = counts.sparkSession.sparkContext.broadcast(network)
+
+    def hashed(batches):
+        net = shared.value
+        for batch in batches:
+            h, _ = word_hashes(batch.column("word"))
+            ids = net.ids(h)
+            keep = np.flatnonzero(ids >= net.words)
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array((ids[keep] - net.words).astype(np.int32)), batch.column("n").take(pa.array(keep))], names=["h", "bucket", "n"])
+
+    def spelling(batches):
+        net, sums = shared.value, np.zeros(257 * 257, np.int64)
+        for batch in batches:
+            buf, off = column_bytes(batch.column("word"))
+            lower = LOWER[buf]
+            starts, ends, _ = word_spans(lower, off)
+            other = net.ids(mix(WORD_HASH.spans(WORD_HASH.prefix(lower), starts, ends))) >= net.words
+            sums += np.bincount(_pairs(lower, starts[other], ends[other]), minlength=257 * 257)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["pair", "n"])
+
+    words = cut(counts.mapInArrow(hashed, "h long, bucket int, n long"))
+    rare = Rare(network.buckets)
+    for r in words.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        rare.total[r.bucket], rare.distinct[r.bucket] = r.n, r.v
+    for r in counts.select("word").mapInArrow(spelling, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        rare.pairs[r.pair] = r.n
+    # the least power of 2^(1/8) that at most `head` words reach
+    step = F.floor(F.log2("n") * 8)
+    least, room = None, head
+    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v")).orderBy(F.col("step").desc()).collect():
+        if r.v > room:
+            break
+        least, room = r.step, room - r.v
+    total = F.element_at(F.array(*[F.lit(float(x)) for x in rare.total]), F.col("bucket") + 1)
+    shares = words.withColumn("share", (F.col("n") - DISCOUNT) / total)
+    if least is not None:
+        own = shares.where(step >= least).select("h", "share").toArrow()
+        h = own.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        rare.hashes, rare.shares = h[order], own.column("share").to_numpy()[order]
+        shares = shares.where(step < least)
+    rare.finish()
+    network.rare, network.tail = rare, shares.select("h", "share")
+
+
+def train(docs: DataFrame, vocabulary: int = VOCABULARY, buckets: int = BUCKETS, rounds: int = ROUNDS, head: int = HEAD) -> Network:
     """The network after `rounds` passes over all documents."""
-    top = word_counts(docs).orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()
+    counts = cut(word_counts(docs))
+    top = counts.orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()
     network = Network([bytes(r.word) for r in top], buckets)
+    _learn_rare(counts, network, head)
     for k in range(rounds):
         sent = _train_round(docs, network, k)
         tasks = sent.rdd.getNumPartitions()
@@ -208,14 +331,36 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, buckets: int = BUCKETS,
 def score_documents(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, n_words, log_prob (summed), mean_log_prob and pseudo_perplexity of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch):
-                n, lp = shared.value.score(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(lp)], names=["doc_id", "n_words", "log_prob"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double")
+                n, lp, row, h, k, unseen = shared.value.score(part.column("text"))
+                r = np.arange(at, at + len(n))
+                at += len(n)
+                # rows of documents have a hash too, so that they are spread in the join
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([r, r[row]])),
+                        pa.array(np.concatenate([mix(r.astype(np.uint64)), h]).view(np.int64)),
+                        pa.concat_arrays([pa.nulls(len(r), pa.int64()), pa.array(k, pa.int64())]),
+                        pa.concat_arrays([pa.array(lp), pa.array(unseen)]),
+                        part.column("doc_id").take(pa.array(np.concatenate([np.arange(len(r)), row]))),
+                        pa.concat_arrays([pa.array(n, pa.int64()), pa.array(np.zeros(len(k), np.int64))]),
+                    ],
+                    names=["r", "h", "k", "lp", "doc_id", "n_words"],
+                )
+
+    out = docs.select("doc_id", "text").mapInArrow(run, f"r long, h long, k long, lp double, doc_id {kind}, n_words long")
+    if network.tail is None:
+        out = out.withColumn("share", F.lit(None).cast("double"))
+    else:
+        out = merge_dealt(out, network.tail.groupBy("h").agg(F.max("share").alias("share")), ["h"], "left")
+    own = F.when(F.col("k").isNull(), F.col("lp")).otherwise(F.col("k") * F.when(F.col("share").isNull(), F.col("lp")).otherwise(F.log(F.col("share") + F.exp("lp"))))
+    out = out.groupBy("r").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum(own).alias("log_prob")).drop("r")
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
     return out.withColumn("mean_log_prob", mean).withColumn("pseudo_perplexity", F.exp(-mean))
