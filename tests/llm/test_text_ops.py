@@ -212,3 +212,26 @@ def test_lm_words_of_a_bucket_have_their_own_probability(spark):
         mine = [w for w in other if bucket[w] == b]
         total = sum(count[w] for w in mine)
         assert abs(net.rare.total[b - lm.VOCABULARY] - total) < 1e-9 and net.rare.distinct[b - lm.VOCABULARY] == len(mine)
+
+
+@pytest.mark.parametrize("n_langs", [4, 3, 2])
+def test_unlearned_languages_are_rejected(spark, n_langs):
+    """Whatever the number of languages: other scripts, another language and random letters go, clean documents stay."""
+    rng = random.Random(8)
+    noise = lambda letters, n=1500: "".join(rng.choice(letters) for _ in range(n))
+    az = "abcdefghijklmnopqrstuvwxyz"
+    strange = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        noise(az + "  "), noise(az + az.upper() + "0123456789+/"), noise("0123456789abcdef"), noise(az, 40),
+    ]
+    langs = ["en", "fr", "de", "es"][:n_langs]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("lang").isin(langs))
+    model = langid.train(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
+    asked = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    clean = docs.where(langid.held_out()).where("text rlike '\\\\p{L}'").select("doc_id", "text")
+    kept = {r.doc_id for r in langid.known_language(clean.union(asked), model).collect()}
+    assert {strange[-1 - i][:40] for i in kept if i < 0} == set()
+    assert len(kept) >= 0.99 * clean.count()

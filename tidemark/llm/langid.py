@@ -11,6 +11,12 @@ The model is fitted on a bounded sample of labelled rows: PER_LANG rows of
 each language, or all if there are fewer, picked by a hash of doc_id.  Counts
 of languages cover all labelled rows.
 
+Scores say which language is nearest, not whether any is near, and their size
+depends on the number of languages.  Whether a text is in its language at all
+is judged by its familiarity: the mean, over the text's bins, of the share of
+that language's training texts that have the bin.  The least familiarity is
+learned from the training texts themselves, each against the others.
+
 Cases: a text that is null or has no letter gives `und` with score 0; without
 any labelled row every text gives `und`; with one language it is predicted for
 every text with letters; repeated rows give repeated results; an empty table
@@ -34,6 +40,8 @@ MAX_LANGS = 1000
 LANDMARKS = 128
 DIMS = 1 << 14
 RIDGE = 1e-2
+#: The least familiarity of a language is MARGIN times what all but QUANTILE of its training texts reach.
+QUANTILE, MARGIN = 0.01, 0.85
 #: Rows scored by one matrix product.
 ROWS = 256
 
@@ -80,6 +88,16 @@ class Model:
         self.landmarks = np.ascontiguousarray(z.T)
         self.weights = (whiten @ beta[:-1]).astype(np.float32)
         self.bias = beta[-1].astype(np.float32)
+        self.familiar = np.zeros((len(self.langs), DIMS), np.float32)
+        self.least = np.full(len(self.langs), -np.inf)  # of a language with one text nothing is known
+        for k, lang in enumerate(self.langs):
+            own = x[np.array(langs) == lang] > 0
+            count, m = own.sum(axis=0), len(own)
+            self.familiar[k] = count / m
+            size = own.sum(axis=1)
+            if m > 1 and size.any():
+                others = np.array([(count[row] - 1).sum() for row in own])[size > 0] / (m - 1) / size[size > 0]
+                self.least[k] = MARGIN * np.quantile(others, QUANTILE)
 
     @staticmethod
     def _presence(texts: list[str]) -> np.ndarray:
@@ -87,7 +105,16 @@ class Model:
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Rows x languages; +1 and -1 are the targets of the regression."""
-        return (presence(buf, off) @ self.landmarks) @ self.weights + self.bias
+        return self.scores_of(presence(buf, off))
+
+    def scores_of(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.landmarks) @ self.weights + self.bias
+
+    def fits(self, x: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether each row is familiar enough in its language; two standard errors, of shares at most 1/2 each, are granted to its bins."""
+        own = x > 0
+        size = np.maximum(own.sum(axis=1), 1)
+        return np.einsum("ij,ij->i", own, self.familiar[best]) / size >= self.least[best] - 1 / np.sqrt(size)
 
 
 def training_sample(labelled: DataFrame, per_lang: int = PER_LANG) -> list:
@@ -111,8 +138,13 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced."""
+    return _predicted(docs, model).drop("_fits")
+
+
+def _predicted(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred, score and _fits (whether the text is in that language at all)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    base = [c for c in docs.columns if c not in ("lang_pred", "score", "_fits")]
 
     def run(batches):
         import regex
@@ -125,15 +157,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     part = wide.slice(k, ROWS)
                     texts = part.column("text").to_pylist()
                     known = np.array([bool(t) and letter(t) is not None for t in texts]) & bool(m.langs)
-                    lang, score = ["und"] * len(texts), np.zeros(len(texts))
+                    lang, score, fits = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
                     if known.any():
-                        s = m.scores(*column_bytes(part.column("text")))
+                        x = presence(*column_bytes(part.column("text")))
+                        s = m.scores_of(x)
                         best = s.argmax(axis=1)
+                        fits = known & m.fits(x, best)
                         lang = [m.langs[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist())]
                         score = np.where(known, np.clip((s[np.arange(len(best)), best].astype(float) + 1) / 2, 0, 1), 0.0)
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in base], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*base, "lang_pred", "score"])
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in base], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(fits)], names=[*base, "lang_pred", "score", "_fits"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in base), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in base), "lang_pred string, score double, _fits boolean"])
     return docs.select(*[F.col(f"`{c}`") for c in base]).mapInArrow(run, schema)
 
 
@@ -141,14 +175,10 @@ def held_out(fold: int = 2, folds: int = 4):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-#: Documents whose best language has a lower score are rejected by the filter.
-LEAST_SCORE = 0.3
-
-
-def known_language(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+def known_language(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose language is recognised, with the columns of docs."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
     renamed = docs.toDF(*["text" if i == text else n for i, n in enumerate(names)])
-    kept = predict(renamed, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    kept = _predicted(renamed, model).where("_fits")
     return kept.select(*[F.col("text" if i == text else n).alias(c) for i, (n, c) in enumerate(zip(names, docs.columns))])
