@@ -36,3 +36,10 @@ def test_query_equals_its_twin(spark, duck, name):
     got = sorted(tuple(normal(r[c]) for c in columns) for r in own.collect())
     at = [twin.columns.index(c) for c in columns]
     assert got == sorted(tuple(normal(r[i]) for i in at) for r in twin.fetchall())
+
+
+def test_every_symbol_is_evaluated(spark, duck):
+    symbols = {x for (x,) in duck.sql("SELECT DISTINCT l_returnflag || l_linestatus FROM lineitem").fetchall()}
+    assert set(queries.QUERIES["pivot_panel_all"](spark, SF).columns) - {"bar_idx"} == symbols
+    for name in ("unpivot_panel_all", "ic_pearson_by_symbol", "ic_spearman_by_symbol"):
+        assert {r.symbol for r in queries.QUERIES[name](spark, SF).select("symbol").distinct().collect()} == symbols

@@ -140,6 +140,23 @@ def unpivot_panel(spark, sf):
     return rounded(P.unpivot(P.wide(daily(spark, sf), "px", ["AF", "NO"]), ["AF", "NO"]))
 
 
+#: Every symbol of the daily panel, for twins that name columns.
+SYMBOLS = ("AF", "AO", "NF", "NO", "RF", "RO")
+
+
+@query("pivot_panel_all", f"WITH {DAILY} SELECT bar_idx, {', '.join(r(f'max(px) FILTER (WHERE symbol = {chr(39)}{s}{chr(39)})', s) for s in SYMBOLS)} FROM panel GROUP BY bar_idx")
+def pivot_panel_all(spark, sf):
+    own = daily(spark, sf)
+    wide = P.wide(own, "px").join(own.select("ts", "bar_idx").distinct(), "ts")
+    return rounded(wide.drop("ts"))
+
+
+@query("unpivot_panel_all", f"WITH {DAILY} SELECT CAST(ts AS VARCHAR) AS ts, symbol, {r('px', 'px')} FROM panel WHERE px IS NOT NULL")
+def unpivot_panel_all(spark, sf):
+    wide = P.wide(daily(spark, sf), "px")
+    return rounded(P.unpivot(wide, [c for c in wide.columns if c != "ts"]))
+
+
 @query("downsample", f"WITH {DAILY}, m AS (SELECT ts, avg(px) AS px, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM panel GROUP BY ts) SELECT CAST(ts AS VARCHAR) AS ts, {r('px', 'px')} FROM m WHERE k % greatest(1, n // 220) = 0 OR k = n - 1")
 def downsample(spark, sf):
     market = daily(spark, sf).groupBy("ts").agg(F.avg("px").alias("px"))
@@ -501,6 +518,29 @@ def ic_spearman(spark, sf):
     return rounded(inference.information_coefficient(own, "spearman").select("n", "ic"))
 
 
+FW = f"WITH {DAILY}, {SIGS}, fw AS (SELECT *, lead(px, 2) OVER s / lead(px, 1) OVER s - 1 AS fwd FROM sg WINDOW s AS (PARTITION BY symbol ORDER BY bar_idx))"
+
+
+def ic_by_series(pairs: DataFrame) -> DataFrame:
+    return rounded(inference.products(pairs, ("series",)).groupBy(F.col("series").alias("symbol")).agg(F.count("x").alias("n"), F.avg("x").alias("ic")))
+
+
+@query("ic_pearson_by_symbol", f"{FW} SELECT symbol, count(*) AS n, {r('corr(signal, fwd)', 'ic')} FROM fw WHERE signal IS NOT NULL AND fwd IS NOT NULL GROUP BY symbol")
+def ic_pearson_by_symbol(spark, sf):
+    return ic_by_series(P.forward_returns(signalled(spark, sf), 1).withColumn("series", F.col("symbol")))
+
+
+@query(
+    "ic_spearman_by_symbol",
+    f"{FW}, k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY round(signal, 9)) + (count(*) OVER (PARTITION BY symbol, round(signal, 9)) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol ORDER BY round(fwd, 9)) + (count(*) OVER (PARTITION BY symbol, round(fwd, 9)) - 1) / 2.0 AS b FROM fw WHERE signal IS NOT NULL AND fwd IS NOT NULL) SELECT symbol, count(*) AS n, {r('corr(a, b)', 'ic')} FROM k GROUP BY symbol",
+)
+def ic_spearman_by_symbol(spark, sf):
+    own = P.forward_returns(signalled(spark, sf), 1).where("signal IS NOT NULL AND fwd IS NOT NULL").withColumn("series", F.col("symbol"))
+    for c in ("signal", "fwd"):
+        own = inference.average_rank(own.withColumn(c, half_away(c, 9)), c, ("series",))
+    return ic_by_series(own)
+
+
 PV = "pv AS (SELECT symbol || month AS test, CASE WHEN symbol = 'RF' AND month = 3 THEN NULL ELSE round(1 / (1 + abs(m)), 6) END AS p_value FROM (SELECT symbol, month(ts) AS month, avg(ret) * 100 AS m FROM rets GROUP BY 1, 2))"
 
 
