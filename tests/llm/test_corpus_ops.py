@@ -137,6 +137,31 @@ def test_maximal_repeats_have_all_occurrences(spark):
     assert {(i, 20 + i) for i in range(6)} in [v for (_, n), v in found.items() if n == 60]
 
 
+def plain_maximal(rows, n):
+    """The places of every string of at least n bytes whose occurrences differ on both sides; borders differ from everything."""
+    at = collections.defaultdict(list)
+    for i, t in rows:
+        for p in range(len(t)):
+            for q in range(p + n, len(t) + 1):
+                at[t[p:q]].append((i, p, t[p - 1] if p else (i, p), t[q] if q < len(t) else (i, q)))
+    differ = lambda x, k: len({y[k] for y in x}) > 1
+    return {(len(w), len(x), frozenset(y[:2] for y in x)) for w, x in at.items() if len(x) > 1 and differ(x, 2) and differ(x, 3)}
+
+
+def test_maximal_repeats_of_any_length(spark):
+    """Passages many times the least length, whole, cut and as whole texts, against all substrings."""
+    rng = random.Random(9)
+    say = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    passage = say(260)
+    texts = [say(15) + passage + say(10), say(3) + passage + say(20), passage, say(9) + passage[30:200] + say(8), passage[:110] + say(5) + passage[150:], say(50), say(30) + passage[90:125], passage]
+    rows = list(enumerate(texts))
+    found, size = collections.defaultdict(set), {}
+    for r in repeats.maximal_repeats(docs_of(spark, rows), 24, 6).collect():
+        found[r["repeat"]].add((int(r.doc_id), r.start))
+        size[r["repeat"]] = (r.n_bytes, r.n)
+    assert {(*size[k], frozenset(v)) for k, v in found.items()} == plain_maximal(rows, 24)
+
+
 def test_repeats_odd_rows(spark):
     got = {(r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(odd(spark)).collect()}
     assert (1, 0, 0) in got and (7, 60_000, 60_000) in got and len(got) == len(ODD) - 1

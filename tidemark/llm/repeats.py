@@ -354,16 +354,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, larg
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """repeat, n_bytes, n and doc_id, start of all occurrences of the repeats found around each anchor."""
+    """repeat, n_bytes, n and doc_id, start of all occurrences of every maximal repeat of at least length bytes.
+
+    Level by level: windows of length, 2 length, 4 length ... bytes have
+    anchors of their own, and 2 windows of text on either side of an anchor
+    hold every repeat of 1 to 2 windows around it.  The last level is the one
+    in which nothing as long as 2 windows repeats.  All contexts of a core are
+    gathered in one task.
+    """
     with scratch(docs.sparkSession) as put:
-        found = put(_anchor_rows(docs, length, core))
-        place = F.struct("_doc", "_t", "at", "low", "high")
-        keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        distinct = put(merge_dealt(found, keys, ["key"]).groupBy("key", "f").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("p")).select("key", "f", "c", "p.*"))
-        rows = _contexts(docs, distinct, length).dropDuplicates(["key", "f"])
-        groups = put(_scan(rows, length, core, groups=True))
-        own = merge_dealt(found.select("key", "f", "_doc", "_t", "at"), groups, ["key", "f"])
-        return cut(own.select("repeat", (F.col("l") + F.col("r")).cast("long").alias("n_bytes"), "n", F.col("_doc").alias("doc_id"), (F.col("at") - F.col("l")).alias("start")))
+        parts, window = [], length
+        while True:
+            found = _anchor_rows(docs, window, core)
+            keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+            places = merge_dealt(found, keys, ["key"]).groupBy("key", "_doc", "_t", "at").agg(F.count(F.lit(1)).alias("c"))
+            places = put(places.withColumn("f", F.xxhash64("_doc", "_t", "at")))
+            around = places.withColumn("high", F.least(F.col("at"), F.lit(2 * window)).cast("int")).withColumn("low", F.lit(-window))
+            rows = _contexts(docs, around, window).dropDuplicates(["key", "f"])
+            groups = put(_scan(rows, window, core, groups=True))
+            own = merge_dealt(places, groups.where(F.col("l") + F.col("r") < 2 * window), ["key", "f"])
+            own = own.select("repeat", (F.col("l") + F.col("r")).cast("long").alias("n_bytes"), "n", "_doc", "_t", (F.col("at") - F.col("l")).alias("start"), "c")
+            # a repeat is found from each anchor in it
+            parts.append(put(own.dropDuplicates(["repeat", "_doc", "_t", "start"])))
+            if groups.where(F.col("l") + F.col("r") >= 2 * window).isEmpty():
+                break
+            window *= 2
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        rows = out.withColumn("_row", F.explode(F.expr("sequence(1, c)")))
+        return cut(rows.select("repeat", "n_bytes", "n", F.col("_doc").alias("doc_id"), "start"))
 
 
 #: Every window of 400 bytes, as hexadecimal digits: for small tables.
