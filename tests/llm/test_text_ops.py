@@ -235,3 +235,10 @@ def test_unlearned_languages_are_rejected(spark, n_langs):
     kept = {r.doc_id for r in langid.known_language(clean.union(asked), model).collect()}
     assert {strange[-1 - i][:40] for i in kept if i < 0} == set()
     assert len(kept) >= 0.99 * clean.count()
+
+
+def test_toxicity_drops_no_tokens(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "idiot scum moronic" if i % 2 else "plain kind words", i % 2) for i in range(200)], "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_TOKENS", 3)
+    with pytest.raises(ValueError, match="MAX_TOKENS"):
+        toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))

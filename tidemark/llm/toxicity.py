@@ -17,8 +17,8 @@ lambda S - ln(K n); segments above 0 are reported as passages, and the
 document's evidence is their sum.  A logistic curve fitted to the evidence of all
 labelled texts turns it into a probability.
 
-The model is a table of at most MAX_TOKENS tokens (the most significant ones),
-which bounds what is broadcast.  Training moves the labelled texts once, to
+The model is a table of all significant tokens, which is broadcast; if there
+are more than MAX_TOKENS training fails.  Training moves the labelled texts once, to
 meet their labels; calibration and scoring move only ids and numbers.
 
 Cases: null and empty texts and texts without scored words have evidence 0
@@ -278,7 +278,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         delta = odds(y1, n1) - odds(y0, n0)
         z = delta / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
         found = counts.where("toxic + clean > 1").select("token", "whole", "clean", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= Z)
-        for r in found.orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).collect():
+        rows = found.limit(MAX_TOKENS + 1).collect()
+        if len(rows) > MAX_TOKENS:
+            raise ValueError(f"more than MAX_TOKENS = {MAX_TOKENS} significant tokens: none may be dropped, raise MAX_TOKENS")
+        for r in sorted(rows, key=lambda r: (-abs(r.z), r.token)):
             d = max(-CAP, min(CAP, r.delta))
             scores[r.token % (1 << 64)] = d
             if r.whole:
