@@ -43,3 +43,7 @@ def test_every_symbol_is_evaluated(spark, duck):
     assert set(queries.QUERIES["pivot_panel_all"](spark, SF).columns) - {"bar_idx"} == symbols
     for name in ("unpivot_panel_all", "ic_pearson_by_symbol", "ic_spearman_by_symbol"):
         assert {r.symbol for r in queries.QUERIES[name](spark, SF).select("symbol").distinct().collect()} == symbols
+
+
+def test_entry_lags_of_the_reference(spark):
+    assert {r.entry_lag for r in queries.QUERIES["entry_lag_all"](spark, SF).collect()} == {1, 2, 5, 10, 30}

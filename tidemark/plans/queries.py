@@ -573,6 +573,16 @@ def entry_lag(spark, sf):
     return rounded(keyed.groupBy("entry_lag").agg(F.count("x").alias("n"), F.avg("x").alias("ic")))
 
 
+@query("entry_lag_all", "WITH " + DAILY + ", " + SIGS + ", fw AS (" + " UNION ALL ".join(f"SELECT {k} AS entry_lag, ts, signal, lead(px, {k + 5}) OVER s / nullif(lead(px, {k}) OVER s, 0) - 1 AS fwd0 FROM sg WINDOW s AS (PARTITION BY symbol ORDER BY bar_idx)" for k in (1, 2, 5, 10, 30)) + ") , fd AS (SELECT *, fwd0 - avg(fwd0) OVER (PARTITION BY entry_lag, ts) AS fwd FROM fw) SELECT entry_lag, count(*) AS n, " + r("corr(signal, fwd)", "ic") + " FROM fd WHERE signal IS NOT NULL AND fwd IS NOT NULL GROUP BY 1")
+def entry_lag_all(spark, sf):
+    every = None
+    for k in (1, 2, 5, 10, 30):
+        own = cells(spark, sf, k).withColumn("entry_lag", F.lit(k))
+        every = own if every is None else every.unionByName(own)
+    keyed = inference.products(inference.demean(every, "fwd", ("entry_lag",)), ("entry_lag",))
+    return rounded(keyed.groupBy("entry_lag").agg(F.count("x").alias("n"), F.avg("x").alias("ic")))
+
+
 @query("split_parts", f"{IC}, bb AS (SELECT max(bar_idx) + 1 AS bars FROM panel), pt AS (SELECT fd.*, CAST(((bar_idx + 1) * 4 - 1) // bars AS INTEGER) AS part FROM fd, bb) SELECT part, count(*) AS n, {r('corr(signal, fwd)', 'ic')} FROM pt WHERE signal IS NOT NULL AND fwd IS NOT NULL GROUP BY 1")
 def split_parts(spark, sf):
     x = inference.products(inference.parts(inference.demean(cells(spark, sf)), 4), ("part",))
