@@ -242,3 +242,11 @@ def test_toxicity_drops_no_tokens(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_TOKENS", 3)
     with pytest.raises(ValueError, match="MAX_TOKENS"):
         toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_lm_trains_on_every_place_once(spark, rounds):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(i))) for i in range(60)], "doc_id long, text string").repartition(3)
+    net = lm.Network([b"w0", b"w1"])
+    seen = [sum(r.n for r in lm._train_round(docs, net, k, rounds).collect()) for k in range(rounds)]
+    assert sum(seen) == sum(range(60)) and min(seen) > 0

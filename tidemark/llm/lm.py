@@ -13,8 +13,8 @@ probability of their own too.  The shares of a bucket's words sum to 1 at most.
 Word counts cover all documents and are summed in Spark; about HEAD frequent
 words are broadcast, all others reach the texts by a join.  The network is trained on all documents too: in every
 round each task starts from the same weights, walks through its own documents
-once, masks a share of the places (picked by a hash of round, place and the
-task's stream), and sends its weights with the number of places it has seen;
+once, masks its round's share of the places (picked by a hash of place and the
+task's stream; the rounds' shares together are all places), and sends its weights with the number of places it has seen;
 the weighted mean, formed in a tree of tasks, begins the next round.
 
 Cases: null and empty texts have 0 words, log_prob 0 and a null mean; an empty
@@ -43,7 +43,7 @@ HEAD = 1 << 18
 #: Words on either side.
 K = 3
 DIM, HIDDEN = 12, 32
-ROUNDS, MASKED, RATE, STEP = 2, 0.15, 0.5, 512
+ROUNDS, RATE, STEP = 2, 0.5, 512
 #: Places scored by one matrix product.
 PLACES = 8192
 
@@ -219,7 +219,7 @@ class Network:
         return np.diff(off), out, r[first], h[first], np.diff(np.append(first, len(order))), unseen[order[first]]
 
 
-def _train_round(docs: DataFrame, network: Network, number: int) -> DataFrame:
+def _train_round(docs: DataFrame, network: Network, number: int, rounds: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
@@ -233,9 +233,9 @@ def _train_round(docs: DataFrame, network: Network, number: int) -> DataFrame:
             for part in slices(batch):
                 hashes, off = word_hashes(part.column("text"))
                 ids = net.ids(hashes)
-                draw = mix(np.arange(at, at + len(ids), dtype=np.uint64) * np.uint64(2654435761) + hashes + np.uint64(number + 1))
+                draw = mix(np.arange(at, at + len(ids), dtype=np.uint64) * np.uint64(2654435761) + hashes + np.uint64(1))
                 at += len(ids)
-                places = np.flatnonzero(draw < np.uint64(int(MASKED * 2**64)))
+                places = np.flatnonzero((draw >= np.uint64((number << 64) // rounds)) & (draw <= np.uint64((number + 1 << 64) // rounds - 1)))
                 places = places[np.argsort(draw[places])]  # neighbours in a step come from different texts
                 context = net.contexts(ids, off, places, np.searchsorted(off, places, side="right") - 1)
                 for a in range(0, len(places), STEP):
@@ -317,7 +317,7 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, buckets: int = BUCKETS,
     network = Network([bytes(r.word) for r in top], buckets)
     _learn_rare(counts, network, head)
     for k in range(rounds):
-        sent = _train_round(docs, network, k)
+        sent = _train_round(docs, network, k, rounds)
         tasks = sent.rdd.getNumPartitions()
         while tasks > 16:  # a tree: no task gets more than about 16 networks
             tasks = (tasks + 15) // 16
