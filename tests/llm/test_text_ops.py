@@ -250,3 +250,12 @@ def test_lm_trains_on_every_place_once(spark, rounds):
     net = lm.Network([b"w0", b"w1"])
     seen = [sum(r.n for r in lm._train_round(docs, net, k, rounds).collect()) for k in range(rounds)]
     assert sum(seen) == sum(range(60)) and min(seen) > 0
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    texts, langs = [f"text {i} {'abcd'[i % 4] * 9}" for i in range(40)], ["wxyz"[i % 4] for i in range(40)]
+    assert langid.Model(texts, langs, landmarks=2).landmarks.shape[1] >= 4 * langid.LEAST_LANDMARKS
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    docs = spark.createDataFrame(list(zip(range(40), texts, langs)), "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="MAX_LANGS"):
+        langid.train(docs)

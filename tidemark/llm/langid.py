@@ -35,9 +35,11 @@ from .textbatch import LOWER, WORD, column_bytes, slices
 
 #: Bound of the training sample for each language.
 PER_LANG = 400
-#: Languages that the model knows at most, the most frequent ones.
+#: Languages that the model can learn; training fails if there are more.
 MAX_LANGS = 1000
 LANDMARKS = 128
+#: Landmarks of each language at least, or all its texts.
+LEAST_LANDMARKS = 4
 DIMS = 1 << 14
 RIDGE = 1e-2
 #: The least familiarity of a language is MARGIN times what all but QUANTILE of its training texts reach.
@@ -78,6 +80,10 @@ class Model:
         x = self._presence(texts)
         every = np.arange(len(texts))
         pick = np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))
+        for lang in self.langs:
+            own = every[np.array(langs) == lang]
+            lacking = LEAST_LANDMARKS - np.isin(own, pick).sum()
+            pick = np.union1d(pick, own[~np.isin(own, pick)][: max(0, lacking)])
         z = x[every[pick]]
         value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
         keep = value > 1e-6 * value.max()
@@ -120,7 +126,9 @@ class Model:
 def training_sample(labelled: DataFrame, per_lang: int = PER_LANG) -> list:
     """(key, lang, text) of about per_lang rows of each language, or all, in the order of the keys."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than MAX_LANGS = {MAX_LANGS} languages: none may be dropped, raise MAX_LANGS")
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))])
