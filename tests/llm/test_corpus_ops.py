@@ -69,7 +69,7 @@ def plain_classes(rows):
     return {d: min(c) for c in classes.values() for d in c}
 
 
-@pytest.mark.parametrize("settings", [{}, {"small": 3, "leaders": 2, "block": 4}])
+@pytest.mark.parametrize("settings", [{}, {"block": 400}])
 def test_near_classes(spark, settings):
     """Copies with a few changed words around one text: the classes of all pairs, whatever the path that finds them."""
     rng = random.Random(2)

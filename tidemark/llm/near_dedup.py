@@ -19,14 +19,24 @@ candidates.  A pair at similarity 0.8 is missed by all bands with probability
 Verification computes the similarity of candidates exactly from their texts,
 and only pairs of at least THRESHOLD are links; classes are the connected
 components of the links.  No bucket is ever expanded into all pairs, nor
-collected.  Texts with the same words count as one.  First every text of a
-bucket is compared with one leader only, and the components of these links are
-formed; large buckets whose texts still lie in several components do so
-again with LEADERS other leaders.  What is left is compared in blocks: in
-each bucket the texts outside its most frequent component meet all others,
-by their signatures first (a pair at similarity 0.8 agrees in less than
-ESTIMATE of the registers with probability 7e-5), and the pairs that pass are
-verified.
+collected.  Texts with the same words count as one.
+
+  1. Every text of a bucket is compared with one leader, and the components of
+     these links are formed.
+  2. In buckets that still lie in several components, the shingles of each
+     text that no other such text has are counted.  They can't be shared, so
+     they bound the similarity of any two texts from above (see `bound`); a
+     text with too many of them has no partner at all.
+  3. The text with the least share of own shingles, the bucket's centre, is
+     its second leader: edited copies lie around what they were copied from.
+  4. Texts outside the most frequent component of a bucket meet all others in
+     blocks, first by their bounds, four numbers each.  The texts that may have
+     a partner in their block are sent there, where an index of their
+     shingles gives the shares that two of them have in common, and with them
+     a sharper bound; the similarity is computed where it may reach the threshold and
+     the two aren't connected yet.  A block yields fewer links than it has
+     texts, whatever the number of pairs, and no two texts of a bucket that are
+     linked stay in different classes.
 
 Cases: null and empty texts and texts without words have no shingle and are
 classes of their own; texts with the same words are in one class whatever
@@ -41,7 +51,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, doc_key, merge_dealt, scratch
@@ -51,10 +61,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Larger buckets in several components get so many further leaders first.
-SMALL, LEADERS = 50, 3
-#: Share of equal registers from which a pair is verified; texts of a block that meet at once.
-ESTIMATE, BLOCK = 0.66, 512
+#: Distinct shingles of a bucket's texts that meet in one task at once, about.
+BLOCK = 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -123,6 +131,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return 0.0
     (ea, wa, _), (eb, wb, _) = (weighted(x, np.array([0, len(x)])) for x in (a, b))
+    return coefficient(ea, wa, eb, wb)
+
+
+def coefficient(ea: np.ndarray, wa: np.ndarray, eb: np.ndarray, wb: np.ndarray) -> float:
+    """The same of two weighted sets; their elements are in order."""
     every = np.union1d(ea, eb)
     x, y = np.zeros(len(every)), np.zeros(len(every))
     x[np.searchsorted(every, ea)] = wa
@@ -133,15 +146,34 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float((x[both] / total[back]).sum()) if both.any() else 0.0
 
 
+def bound(own: dict, other: dict, smallest=np.minimum) -> np.ndarray:
+    """An upper bound of the similarity of texts: weight, n (distinct shingles), c (those that other texts have too) and s (their share of the weight).
+
+    Only shingles that both have add to the similarity J.  Let X and Y be their
+    shares of the two weights.  Each adds at most 1 / (1 / p + (1 - Y) / q), p and
+    q its own shares, which is concave and of degree 1, so that
+    J <= 1 / (1 / X + 1 / Y - 1).  X is s at most.  And as there are at most
+    c of the text with fewer, and every other shingle weighs 1 at least,
+    weight * (1 - X) is at least n - c.
+    """
+    c = smallest(own["c"], other["c"])
+    x, y = (np.maximum(smallest(t["s"], 1 - (t["n"] - c) / t["weight"]), 1e-9) for t in (own, other))
+    return 1 / (1 / x + 1 / y - 1)
+
+
+_FACTS = ["weight", "n", "c", "s"]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, _t (hash of the text), k0 and k1 (hash of its words), and its bands b0, b1, ...; null bands for texts without words."""
+    """doc_id, _t (hash of the text), k0 and k1 (hash of its words), weight and n (distinct) of its shingles, and its bands b0, b1, ...; null bands for texts without words."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 hashes, off = word_hashes(part.column("text"))
                 n, rows = np.diff(off), part.num_rows
-                bands = band_keys(signatures(*weighted(hashes, off), rows))
+                element, weight, row = weighted(hashes, off)
+                bands = band_keys(signatures(element, weight, row, rows))
                 place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(off[:-1], n).astype(np.uint64)
                 keys = []
                 for c in (0, 1):
@@ -149,19 +181,36 @@ def sketches(docs: DataFrame) -> DataFrame:
                     keys.append(mix(upto[off[1:]] - upto[off[:-1]] + n.astype(np.uint64)))
                 none = n == 0
                 cols = [part.column("doc_id"), part.column("_t"), *(pa.array(k.view(np.int64)) for k in keys)]
+                cols += [pa.array(np.bincount(row, w, rows).astype(np.int64)) for w in (weight, None)]
                 cols += [pa.array(np.ascontiguousarray(bands[:, b]).view(np.int64), mask=none) for b in range(BANDS)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    names = ["doc_id", "_t", "k0", "k1", *(f"b{b}" for b in range(BANDS))]
+    names = ["doc_id", "_t", "k0", "k1", "weight", "n", *(f"b{b}" for b in range(BANDS))]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"`{c}` long" for c in names[1:]))
+
+
+def facts(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, weight, n, c and s of the given texts (rep, text): c and s leave out the shingles that no other of them has."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                element, weight, row = weighted(*word_hashes(part.column("text")))
+                yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), part.column("rep").take(pa.array(row)), pa.array(weight.astype(np.int64))], names=["e", "rep", "w"])
+
+    each = texts.select("rep", "text").mapInArrow(run, "e long, rep long, w long")
+    alone = each.groupBy("e").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("rep"), F.min("w").alias("w")).where("df = 1")
+    own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own"), F.sum("w").alias("own_weight"))
+    left = merge_dealt(merge_dealt(reps.select("rep", "weight", "n"), texts.select("rep"), ["rep"], "left_semi"), own, ["rep"], "left").fillna(0, ["own", "own_weight"])
+    return left.select("rep", "weight", "n", (F.col("n") - F.col("own")).alias("c"), (1 - F.col("own_weight") / F.col("weight")).alias("s"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold. texts: rep and text."""
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    met = merge_dealt(merge_dealt(pairs, left, ["a"]), right, ["b"]).select("a", "b", "x", "y")
 
     def run(batches):
         @functools.lru_cache(64)
@@ -189,13 +238,13 @@ def components(edges: DataFrame) -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
         to = cut(both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("rep"), F.least(order("a"), "m")["id"].alias("to")))
         to_a, to_b = (to.select(F.col("rep").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
-        edges = edges.join(to_a, "a").join(to_b, "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        edges = merge_dealt(merge_dealt(edges, to_a, ["a"]), to_b, ["b"]).select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
         edges = cut(edges.where("a <> b").distinct())
         if roots is None:
             roots = to.select("rep", F.col("to").alias("root"))
         else:
             moved = to.select(F.col("rep").alias("root"), "to")
-            roots = roots.join(moved, "root", "left").select("rep", F.coalesce("to", "root").alias("root"))
+            roots = merge_dealt(roots, moved, ["root"], "left").select("rep", F.coalesce("to", "root").alias("root"))
     return roots if roots is not None else edges.select(F.col("a").alias("rep"), F.col("b").alias("root"))
 
 
@@ -205,117 +254,174 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return rows.select("rep", "band", F.xxhash64("band", "key").alias("h"))
 
 
-def _placed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    return buckets.join(roots, "rep", "left").select("h", "band", "rep", F.coalesce("root", "rep").alias("root"))
-
-
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The components of both together."""
     of = lambda c: roots.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}"))
-    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    second = components(lifted)
+    lifted = merge_dealt(merge_dealt(links, of("a"), ["a"], "left"), of("b"), ["b"], "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    second = cut(components(lifted))
     moved = second.select(F.col("rep").alias("root"), F.col("root").alias("to"))
-    old = roots.join(moved, "root", "left").select("rep", F.coalesce("to", "root").alias("root"))
-    return cut(old.union(second.join(roots.select("rep"), "rep", "left_anti").select("rep", "root")))
+    old = merge_dealt(roots, moved, ["root"], "left").select("rep", F.coalesce("to", "root").alias("root"))
+    return cut(old.union(merge_dealt(second, roots.select("rep"), ["rep"], "left_anti").select("rep", "root")))
 
 
-def _blocks(placed: DataFrame, texts: DataFrame, estimate: float, block: int) -> DataFrame:
-    """Pairs (a, b) across components of a bucket whose signatures agree enough; each pair in its first common bucket."""
-    by_root = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
-    sizes = by_root.groupBy("h").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("most"))
-    open_ = sizes.where("n > 2 AND roots > 1").select("h", F.ceil(F.col("n") / block).alias("nm"), F.ceil((F.col("n") - F.col("most.c")) / block).alias("nu"), F.col("most.root").alias("most"))
-    rows = cut(placed.join(open_, "h"))
-    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    few = rows.where("root <> most").withColumn("ub", place("nu")).withColumn("mb", every("nm")).withColumn("few", F.lit(True))
-    many = rows.withColumn("mb", place("nm")).withColumn("ub", every("nu")).withColumn("few", F.lit(False))
-    dealt = few.select("h", "ub", "mb", "band", "rep", "root", "few").union(many.select("h", "ub", "mb", "band", "rep", "root", "few"))
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """h, rep and root of all buckets that lie in several components, and their most frequent root."""
+    placed = merge_dealt(buckets.select("h", "rep"), roots, ["rep"], "left").select("h", "rep", F.coalesce("root", "rep").alias("root"))
+    by_root = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"))
+    sizes = by_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("most")).where("roots > 1")
+    # one more key than the aggregation has, so that the planner may split hot buckets
+    return merge_dealt(placed.withColumn("g", F.hash("h")), sizes.select("h", F.hash("h").alias("g"), F.col("most.root").alias("most")), ["h", "g"]).drop("g")
 
-    def sign(batches):
-        for batch in batches:
-            for part in slices(batch):
-                sig = signatures(*weighted(*word_hashes(part.column("text"))), part.num_rows).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([row.tobytes() for row in sig], pa.binary())], names=["rep", "sig"])
-
-    signed = texts.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(sign, "rep long, sig binary")
-    grouped = dealt.join(signed, "rep").select("h", "ub", "mb", "band", "rep", "root", "few", "sig").repartition("h", "ub", "mb").sortWithinPartitions("h", "ub", "mb")
-
-    def meet(group: list[tuple]) -> list[tuple]:
-        band = group[0][3]
-        some, all_ = ([g for g in group if g[6] == flag] for flag in (True, False))
-        if not some or not all_:
-            return []
-        m = np.frombuffer(b"".join(g[7] for g in all_), np.uint32).reshape(-1, REGISTERS)
-        rep, root = (np.array([g[k] for g in all_]) for k in (4, 5))
-        inside = np.isin(rep, [g[4] for g in some])
-        out = []
-        for g in some:
-            same = m == np.frombuffer(g[7], np.uint32)
-            near = (same.mean(axis=1) >= estimate) & (root != g[5]) & (~inside | (rep > g[4]))
-            for k in np.flatnonzero(near):
-                if same[k].reshape(BANDS, ROWS).all(axis=1).argmax() == band:
-                    out.append((min(g[4], int(rep[k])), max(g[4], int(rep[k]))))
-        return out
+
+def _centres(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's texts with its centre, which lies in another component, with the facts of both."""
+    first = F.min(F.struct((F.lit(1.0) - F.col("s")).alias("o"), F.xxhash64("rep").alias("o2"), "rep", "root", *_FACTS)).alias("x")
+    centres = rows.groupBy("h").agg(first).select("h", F.hash("h").alias("g"), F.col("x.rep").alias("b"), F.col("x.root").alias("rb"), *[F.col(f"x.{f}").alias(f"{f}_b") for f in _FACTS])
+    return merge_dealt(rows.withColumn("g", F.hash("h")), centres, ["h", "g"]).where("root <> rb").withColumnRenamed("rep", "a")
+
+
+def _columns(batch: pa.RecordBatch, suffix: str = "") -> dict[str, np.ndarray]:
+    return {f: batch.column(f + suffix).to_numpy(zero_copy_only=False) for f in _FACTS}
+
+
+def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose bound reaches the threshold."""
 
     def run(batches):
-        key, group = None, []
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    out += meet(group) if group else []
-                    key, group = row[:3], []
-                group.append(row)
-            yield _pairs(out)
-        yield _pairs(meet(group) if group else [])
+            ok = bound(_columns(batch), _columns(batch, "_b")) >= threshold - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", *_FACTS, *[f"{f}_b" for f in _FACTS]).mapInArrow(run, "a long, b long").distinct()
 
 
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+_PLACE = ["h", "ub", "mb"]
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, leaders: int = LEADERS, estimate: float = ESTIMATE, block: int = BLOCK) -> DataFrame:
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """_PLACE, rep, root, facts and few: every text outside the most frequent component of its bucket (few) meets every text of the bucket in one place."""
+    sizes = rows.groupBy("h").agg(F.ceil(F.sum("n") / block).alias("nm"), F.ceil(F.sum(F.when(F.col("root") != F.col("most"), F.col("n"))) / block).alias("nu"))
+    rows = merge_dealt(rows.withColumn("g", F.hash("h")), sizes.withColumn("g", F.hash("h")), ["h", "g"])
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    names = [*_PLACE, "rep", "root", *_FACTS, "few"]
+    few = rows.where("root <> most").withColumn("ub", place("nu")).withColumn("mb", every("nm")).withColumn("few", F.lit(True))
+    many = rows.where("nu > 0").withColumn("mb", place("nm")).withColumn("ub", every("nu")).withColumn("few", F.lit(False))
+    return few.select(*names).union(many.select(*names))
+
+
+def _by_place(rows: DataFrame, meet, schema: str) -> DataFrame:
+    """What meet makes of the rows of each place."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # rows of one place, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in _PLACE])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and any(held[0].column(c)[0] != batch.column(c)[a] for c in _PLACE):
+                    yield meet(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield meet(pa.Table.from_batches(held))
+
+    return rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(run, schema)
+
+
+def _touched(dealt: DataFrame, threshold: float) -> DataFrame:
+    """The rows of dealt whose bound with a text of another component reaches the threshold in their place."""
+
+    def meet(group: pa.Table) -> pa.RecordBatch:
+        rep, root, flag = (group.column(c).to_numpy() for c in ("rep", "root", "few"))
+        facts_ = {f: group.column(f).to_numpy() for f in _FACTS}
+        some, all_ = np.flatnonzero(flag), np.flatnonzero(~flag)
+        others = {f: x[all_] for f, x in facts_.items()}
+        hit = np.zeros(len(rep), bool)
+        for i in some:
+            own = (bound(others, {f: x[i] for f, x in facts_.items()}) >= threshold - 1e-9) & (root[all_] != root[i])
+            hit[all_[own]] = True
+            hit[i] = own.any()
+        kept = pa.table({**{c: group.column(c) for c in [*_PLACE, "rep", "root"]}, "few": pa.array(flag)}).filter(pa.array(hit))
+        return kept.combine_chunks().to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], schema=kept.schema)
+
+    return _by_place(dealt, meet, ", ".join(f"{c} long" for c in [*_PLACE, "rep", "root"]) + ", few boolean")
+
+
+def _links(touched: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that connect the components of each place. touched: _PLACE, rep, root, few and text."""
+
+    def meet(group: pa.Table) -> pa.RecordBatch:
+        rep, root, flag = (group.column(c).to_numpy() for c in ("rep", "root", "few"))
+        element, weight, row = weighted(*word_hashes(group.column("text")))
+        off = np.searchsorted(row, np.arange(len(rep) + 1))
+        total = np.bincount(row, weight, len(rep))
+        _, element = np.unique(element, return_inverse=True)
+        parent = {int(r): int(r) for r in root}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        marked = np.zeros(element.max(initial=-1) + 1)
+        a, b = [], []
+        for i in np.flatnonzero(flag):
+            e, w = element[off[i] : off[i + 1]], weight[off[i] : off[i + 1]]
+            marked[e] = w
+            there = marked[element]
+            marked[e] = 0
+            x = np.maximum(np.bincount(row, there, len(rep)) / total[i], 1e-9)
+            y = np.maximum(np.bincount(row, weight * (there > 0), len(rep)) / total, 1e-9)
+            for j in np.flatnonzero(~flag & (1 / (1 / x + 1 / y - 1) >= threshold - 1e-9)):
+                p, q = find(int(root[i])), find(int(root[j]))
+                if p != q and coefficient(e, w, element[off[j] : off[j + 1]], weight[off[j] : off[j + 1]]) >= threshold:
+                    parent[p] = q
+                    a.append(int(rep[i]))
+                    b.append(int(rep[j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _by_place(touched, meet, "a long, b long").distinct()
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, _t, class_id (least doc_id), class_size and kept (one row of each class) of every row."""
     with scratch(docs.sparkSession) as put:
         made = put(sketches(docs).withColumn("uid", F.monotonically_increasing_id()))
-        reps = put(made.groupBy("k0", "k1").agg(F.min("uid").alias("rep"), *[F.max(f"b{b}").alias(f"b{b}") for b in range(BANDS)]))
+        reps = put(made.groupBy("k0", "k1").agg(F.min("uid").alias("rep"), *[F.max(c).alias(c) for c in ("weight", "n", *(f"b{b}" for b in range(BANDS)))]))
         buckets = put(_buckets(reps))
-        least = buckets.groupBy("h").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "b")
+        least = buckets.groupBy("h").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1")
         # one more key than the aggregation has, so that the planner may split hot buckets
-        star = buckets.select("h", F.hash("h").alias("g"), F.col("rep").alias("a")).join(least.select("h", F.hash("h").alias("g"), "b"), ["h", "g"])
+        star = merge_dealt(buckets.select("h", F.hash("h").alias("g"), F.col("rep").alias("a")), least.select("h", F.hash("h").alias("g"), "b"), ["h", "g"])
         pairs = put(star.where("a <> b").select("a", "b").distinct())
         # the texts of all candidates meet their ids once
         ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        wanted = made.select(F.col("uid").alias("rep"), doc_key().alias("_doc"), "_t").join(ids, "rep")
+        wanted = merge_dealt(made.select(F.col("uid").alias("rep"), doc_key().alias("_doc"), "_t"), ids, ["rep"])
         texts = docs.select(doc_key().alias("_doc"), F.xxhash64("text").alias("_t"), "text")
         texts = put(merge_dealt(texts, wanted, ["_doc", "_t"]).select("rep", "text").dropDuplicates(["rep"]))
-        roots = components(verify(pairs, texts, threshold))
-        roots = cut(roots)
-        placed = _placed(buckets, roots)
-        order = lambda k: F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "root")).alias(f"l{k}")
-        sizes = placed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), *[order(k) for k in range(leaders)])
-        large = sizes.where(f"n > {small} AND r0 <> r1").select("h", F.explode(F.array(*[f"l{k}" for k in range(leaders)])).alias("l")).select("h", F.col("l.rep").alias("b"), F.col("l.root").alias("rb"))
-        large = cut(large.distinct())
-        if not large.isEmpty():
-            more = placed.join(large, "h").where("root <> rb").select(F.col("rep").alias("a"), "b").distinct()
-            roots = _merged(roots, verify(more, texts, threshold))
-        left = put(_blocks(_placed(buckets, roots), texts, estimate, block))
+        roots = cut(components(verify(pairs, texts, threshold)))
+        left = put(_open(buckets, roots))
         if not left.isEmpty():
-            roots = _merged(roots, verify(left, texts, threshold))
-        of_words = reps.select("k0", "k1", "rep").join(roots, "rep", "left").select("k0", "k1", F.xxhash64("k0").alias("_g"), F.coalesce("root", "rep").alias("root"))
+            known = put(facts(merge_dealt(texts, left.select("rep").distinct(), ["rep"], "left_semi"), reps).where(F.col("s") >= threshold - 1e-9))
+            alive = put(merge_dealt(buckets.select("h", "rep"), known.select("rep"), ["rep"], "left_semi"))
+            near = put(_possible(_centres(merge_dealt(_open(alive, roots), known, ["rep"])), threshold))
+            roots = _merged(roots, verify(near, texts, threshold))
+            some = put(_touched(_dealt(put(merge_dealt(_open(alive, roots), known, ["rep"])), block), threshold))
+            roots = _merged(roots, put(_links(merge_dealt(some, texts, ["rep"]), threshold)))
+        of_words = merge_dealt(reps.select("k0", "k1", "rep"), roots, ["rep"], "left").select("k0", "k1", F.xxhash64("k0").alias("_g"), F.coalesce("root", "rep").alias("root"))
         mine = made.select("uid", "doc_id", "_t", "k0", "k1", F.xxhash64("k0").alias("_g"), F.col("b0").isNull().alias("wordless"))
-        placed = put(mine.join(of_words, ["k0", "k1", "_g"]).select("uid", "doc_id", "_t", F.when(F.col("wordless"), F.col("uid")).otherwise(F.col("root")).alias("root")))
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("first")
+        placed = put(merge_dealt(mine, of_words, ["k0", "k1", "_g"]).select("uid", "doc_id", "_t", F.when(F.col("wordless"), F.col("uid")).otherwise(F.col("root")).alias("root")))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid")).alias("first")
         classes = placed.groupBy("root").agg(first, F.count(F.lit(1)).alias("class_size"))
-        out = placed.withColumn("_g", F.hash("root")).join(classes.withColumn("_g", F.hash("root")), ["root", "_g"])
+        out = merge_dealt(placed.withColumn("_g", F.hash("root")), classes.withColumn("_g", F.hash("root")), ["root", "_g"])
         return cut(out.select("doc_id", "_t", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs of each class, with the columns of docs."""
     kept = near_classes(docs).where("kept").select(doc_key().alias("_doc"), "_t").distinct()
-    mine = docs.withColumn("_doc", doc_key()).withColumn("_t", F.xxhash64("text"))
-    one = F.row_number().over(Window.partitionBy("_doc", "_t").orderBy(F.lit(1)))
-    return mine.join(kept, ["_doc", "_t"], "left_semi").withColumn("_n", one).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows that repeat id and text are reduced before they move, however many there are
+    one = docs.withColumn("_doc", doc_key()).withColumn("_t", F.xxhash64("text")).dropDuplicates(["_doc", "_t"])
+    return merge_dealt(one, kept, ["_doc", "_t"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
