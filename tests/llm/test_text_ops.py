@@ -111,7 +111,7 @@ def test_language_id(spark):
     assert joined[0] > 0.95 and 0 <= joined[1] <= joined[2] <= 1
     assert {r.doc_id for r in got.where("held_out").collect()} == {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
     model = langid.train(docs.select("doc_id", "text", "lang"))
-    odd_ = {(r.doc_id, r.lang_pred, r.score) for r in langid.predict(odd(spark).drop("score"), model).collect()}
+    odd_ = {(r.doc_id, r.lang_pred, r.score) for r in langid.predict(odd(spark), model).collect()}
     assert {x[0] for x in odd_ if x[1] == "und"} == {1, 2, 3, 8} and all(x[2] == 0 for x in odd_ if x[1] == "und")
     kept = langid.known_language(odd(spark), model)
     assert kept.columns == odd(spark).columns and {r.doc_id for r in kept.collect()} >= {None, 6}
@@ -252,10 +252,65 @@ def test_lm_trains_on_every_place_once(spark, rounds):
     assert sum(seen) == sum(range(60)) and min(seen) > 0
 
 
-def test_every_language_is_learned(spark, monkeypatch):
-    texts, langs = [f"text {i} {'abcd'[i % 4] * 9}" for i in range(40)], ["wxyz"[i % 4] for i in range(40)]
-    assert langid.Model(texts, langs, landmarks=2).landmarks.shape[1] >= 4 * langid.LEAST_LANDMARKS
-    monkeypatch.setattr(langid, "MAX_LANGS", 3)
-    docs = spark.createDataFrame(list(zip(range(40), texts, langs)), "doc_id long, text string, lang string")
-    with pytest.raises(ValueError, match="MAX_LANGS"):
-        langid.train(docs)
+def test_every_language_is_learned(spark):
+    """Many languages of few texts each: all have landmarks, weights and predictions."""
+    pick = langid.pick_landmarks([f"l{i % 4}" for i in range(40)], 2)
+    assert [sum(int(k) % 4 == lang for k in pick) for lang in range(4)] >= [langid.LEAST_LANDMARKS] * 4
+    say = lambda k: " ".join(f"{hashlib.md5(str((k, j)).encode()).hexdigest()[:6]}" for j in range(40))
+    docs = spark.createDataFrame([(k, say(k % 30), f"l{k % 30:02d}") for k in range(150)], "doc_id long, text string, lang string")
+    model = langid.train(docs, landmarks=8)
+    assert model.langs == [f"l{k:02d}" for k in range(30)] and model.landmarks.shape[1] == 120
+    assert langid.predict(docs, model).where("lang = lang_pred").count() == 150
+
+
+def plain_bins(text):
+    """The bins of a text's byte n-grams, one by one."""
+    low = bytes(x if re.match("[0-9a-z\x80-\xff]", chr(x)) else 32 for x in text.translate(LOWER).encode())
+    out = set()
+    for n in (1, 2, 3):
+        for i in range(len(low) - n + 1):
+            x = (int.from_bytes(low[i : i + n], "big") + (n << 24)) * 2654435761 % 2**32
+            x = (x ^ x >> 15) * 2246822519 % 2**32
+            out.add(x >> 18)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_language_scores_against_plain_kernels(spark, parts):
+    """Kernels of sets, Nystroem features and ridge regression written out; the model doesn't depend on the layout."""
+    rng = random.Random(8)
+    say = lambda a: " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(3, 30)))
+    rows = [(i, say(("abcdefgh", "efghijkl", "Éàijklmn")[i % 3]), "xyz"[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+    sample = {(r.key, r.lang): bytes(r.bits) for r in langid.training_sample(docs, 20).collect()}
+    text = {(r.key, r.lang): r.text for r in docs.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "lang", "text").collect()}
+    least = {lang: sorted(k for k, x in text if x == lang)[:20] for lang in "xyz"}
+    assert set(sample) == {(k, lang) for lang in "xyz" for k in least[lang]}
+    keys = sorted(sample)
+    sets = [plain_bins(text[k]) for k in keys]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    marks = [sets[k] for k in langid.pick_landmarks([lang for _, lang in keys], 10)]
+    value, vector = np.linalg.eigh([[kernel(a, b) for b in marks] for a in marks])
+    phi = lambda t: np.append([sum(kernel(t, z) * v for z, v in zip(marks, vector[:, c])) / value[c] ** 0.5 for c in range(len(marks))], 1.0)
+    x = np.array([phi(t) for t in sets])
+    beta = np.linalg.inv(x.T @ x + langid.RIDGE * np.eye(x.shape[1])) @ x.T @ np.array([[1.0 if lang == own else -1.0 for lang in "xyz"] for _, own in keys])
+    model = langid.train(docs, 20, 10)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    for i, t, _ in rows:
+        s = phi(plain_bins(t)) @ beta
+        assert got[i][0] == "xyz"[int(s.argmax())] and abs(got[i][1] - min(max((s.max() + 1) / 2, 0), 1)) < 2e-3
+    for k, lang in enumerate("xyz"):
+        own = [a for a, (_, x) in zip(sets, keys) if x == lang]
+        shares = [sum(sum(b in o for o in own) - 1 for b in a) / (len(own) - 1) / len(a) for a in own]
+        assert abs(model.least[k] - langid.MARGIN * np.quantile(shares, langid.QUANTILE)) < 1e-6
+
+
+def test_language_sample_is_bounded(spark):
+    """Null ids, ids that all rows share and rows that repeat: bounded, and never empty."""
+    texts = [(f"text {i} " + "abc " * (i % 7)) for i in range(3000)]
+    for rows in ([(None, t) for t in texts], [(7, t) for t in texts], [(7, "the same")] * 2000 + [(8, "one more")]):
+        docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
+        n = langid.training_sample(docs, 50).count()
+        assert n == min(50, len(set(rows)))
+        model = langid.train(docs, 50)
+        assert {r.lang_pred for r in langid.predict(docs.limit(20), model).collect()} == {"x"}

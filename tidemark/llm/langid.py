@@ -7,9 +7,14 @@ product of their sizes.  LANDMARKS training texts give Nystroem features, and
 one-versus-rest kernel ridge regression on these features gives a score for
 each language.  Texts are scored in batches by two matrix products.
 
-The model is fitted on a bounded sample of labelled rows: PER_LANG rows of
-each language, or all if there are fewer, picked by a hash of doc_id.  Counts
-of languages cover all labelled rows.
+The model is fitted on a bounded sample of labelled rows: the PER_LANG rows of
+each language with the least hash of doc_id and text (rows that repeat both
+count once), or all if there are fewer.  Counts of languages cover all labelled
+rows, and every language is learned.  The driver gets no texts: tasks turn the
+sample into bit sets of DIMS bits, and sum the regression's normal equations
+and the counts of bins.  What the driver holds is the landmarks' bit sets and
+for each language a vector of DIMS numbers.  The model doesn't depend on how
+the rows are dealt to tasks.
 
 Scores say which language is nearest, not whether any is near, and their size
 depends on the number of languages.  Whether a text is in its language at all
@@ -28,15 +33,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .textbatch import LOWER, WORD, column_bytes, slices
 
 #: Bound of the training sample for each language.
 PER_LANG = 400
-#: Languages that the model can learn; training fails if there are more.
-MAX_LANGS = 1000
 LANDMARKS = 128
 #: Landmarks of each language at least, or all its texts.
 LEAST_LANDMARKS = 4
@@ -46,6 +50,8 @@ RIDGE = 1e-2
 QUANTILE, MARGIN = 0.01, 0.85
 #: Rows scored by one matrix product.
 ROWS = 256
+#: So many times PER_LANG rows pass the threshold from which the sample is taken, about.
+SLACK = 3
 
 
 def presence(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -70,44 +76,59 @@ def presence(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out / np.maximum(size, 1)
 
 
-class Model:
-    """Landmarks, their whitening matrix and one weight vector for each language."""
+def bits_of(buf: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """The set of bins of each row as DIMS bits."""
+    return [row.tobytes() for row in np.packbits(presence(buf, off) > 0, axis=1)]
 
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
-        self.langs = sorted(set(langs))
-        if not self.langs:
-            return
-        x = self._presence(texts)
-        every = np.arange(len(texts))
-        pick = np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))
-        for lang in self.langs:
-            own = every[np.array(langs) == lang]
-            lacking = LEAST_LANDMARKS - np.isin(own, pick).sum()
-            pick = np.union1d(pick, own[~np.isin(own, pick)][: max(0, lacking)])
-        z = x[every[pick]]
+
+def rows_of_bits(bits: list[bytes]) -> np.ndarray:
+    """The rows that presence gives, from their bit sets."""
+    x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+    return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+
+
+def pick_landmarks(langs: list[str], landmarks: int = LANDMARKS) -> np.ndarray:
+    """Places of the landmarks in the sample: evenly spaced, and LEAST_LANDMARKS of each language."""
+    pick = np.unique(np.linspace(0, len(langs) - 1, min(landmarks, len(langs))).astype(int))
+    every, own_lang = np.arange(len(langs)), np.array(langs)
+    more = []
+    for lang in sorted(set(langs)):
+        own = every[own_lang == lang]
+        there = np.isin(own, pick)
+        more.append(own[~there][: max(0, LEAST_LANDMARKS - int(there.sum()))])
+    return np.union1d(pick, np.concatenate(more).astype(int))
+
+
+class Features:
+    """Nystroem features: landmarks and their whitening matrix."""
+
+    def __init__(self, z: np.ndarray):
         value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
         keep = value > 1e-6 * value.max()
-        whiten = vector[:, keep] / np.sqrt(value[keep])
-        phi = np.hstack([(x @ z.T).astype(np.float64) @ whiten, np.ones((len(texts), 1))])
-        y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
-        beta = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ y)
         self.landmarks = np.ascontiguousarray(z.T)
-        self.weights = (whiten @ beta[:-1]).astype(np.float32)
-        self.bias = beta[-1].astype(np.float32)
-        self.familiar = np.zeros((len(self.langs), DIMS), np.float32)
-        self.least = np.full(len(self.langs), -np.inf)  # of a language with one text nothing is known
-        for k, lang in enumerate(self.langs):
-            own = x[np.array(langs) == lang] > 0
-            count, m = own.sum(axis=0), len(own)
-            self.familiar[k] = count / m
-            size = own.sum(axis=1)
-            if m > 1 and size.any():
-                others = np.array([(count[row] - 1).sum() for row in own])[size > 0] / (m - 1) / size[size > 0]
-                self.least[k] = MARGIN * np.quantile(others, QUANTILE)
+        self.whiten = vector[:, keep] / np.sqrt(value[keep])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Of each row of x; the last one is constant."""
+        return np.hstack([(x @ self.landmarks).astype(np.float64) @ self.whiten, np.ones((len(x), 1))])
+
 
-    @staticmethod
-    def _presence(texts: list[str]) -> np.ndarray:
-        return presence(*column_bytes(pa.array(texts, pa.large_string())))
+class Model:
+    """Landmarks and one weight vector for each language, and the languages' shares of texts with a bin and least familiarities."""
+
+    def __init__(self, langs: list[str], features: Features | None = None, gram=None, sums=None, familiar=None, ridge: float = RIDGE):
+        """langs in order; gram: sum of phi phi' over the sample; sums: for each language the sum of its phi."""
+        self.langs = langs
+        if not langs:
+            return
+        # the targets are 1 for the language and -1 for all others
+        y = 2 * np.array(sums).T - np.sum(sums, axis=0)[:, None]
+        beta = np.linalg.solve(gram + ridge * np.eye(len(gram)), y)
+        self.landmarks = features.landmarks
+        self.weights = (features.whiten @ beta[:-1]).astype(np.float32)
+        self.bias = beta[-1].astype(np.float32)
+        self.familiar = familiar
+        self.least = np.full(len(langs), -np.inf)  # of a language with one text nothing is known
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Rows x languages; +1 and -1 are the targets of the regression."""
@@ -123,25 +144,90 @@ class Model:
         return np.einsum("ij,ij->i", own, self.familiar[best]) / size >= self.least[best] - 1 / np.sqrt(size)
 
 
-def training_sample(labelled: DataFrame, per_lang: int = PER_LANG) -> list:
-    """(key, lang, text) of about per_lang rows of each language, or all, in the order of the keys."""
-    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than MAX_LANGS = {MAX_LANGS} languages: none may be dropped, raise MAX_LANGS")
+def training_sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """lang, key and bits of at most per_lang rows of each language, those with the least keys; a row that repeats doc_id and text counts once."""
+    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()
     if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))])
-    at = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    picked = labelled.where(at < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "text"))
-    rows = picked.select(key.alias("key"), "lang", "text").collect()
-    return sorted((r.key, r.lang, r.text) for r in rows)
-
-
-def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
-    rows = training_sample(labelled, per_lang)
-    return Model([text for _, _, text in rows], [lang for _, lang, _ in rows])
+        return labelled.select("lang", "key", F.lit(b"").alias("bits")).where("false")
+    # the keys below the threshold are a few times what is taken of each language, however many rows there are
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, SLACK * (per_lang + 20) / max(r["n"], 1)))])
+    at = (F.col("key") / float(1 << 64)) + 0.5
+    near = labelled.where(at < F.try_element_at(share, F.col("lang")) + 1e-9).select("lang", "key", "text").dropDuplicates(["lang", "key"])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array(bits_of(*column_bytes(part.column("text"))), pa.binary())], names=["lang", "key", "bits"])
+
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    return near.withColumn("_n", rank).where(F.col("_n") <= per_lang).select("lang", "key", "text").mapInArrow(run, "lang string, key long, bits binary")
+
+
+def _by_lang(batches):
+    """Language and rows of presence, ROWS at once, of rows that are in the order of lang."""
+    for batch in batches:
+        langs = batch.column("lang").to_pylist()
+        edges = [0, *[k for k in range(1, len(langs)) if langs[k] != langs[k - 1]], len(langs)]
+        for a, b in zip(edges, edges[1:]):
+            for k in range(a, b, ROWS):
+                yield langs[a], rows_of_bits(batch.column("bits").slice(k, min(ROWS, b - k)).to_pylist())
+
+
+def _sums(rows: DataFrame, features: Features) -> list:
+    """For each language lang, n, and the sums of phi, of phi phi' and of the bins over its rows (float64 and int64 bytes)."""
+    shared = rows.sparkSession.sparkContext.broadcast(features)
+
+    def run(batches):
+        of: dict[str, list] = {}
+        for lang, x in _by_lang(batches):
+            phi = shared.value(x)
+            new = [len(x), phi.sum(axis=0), phi.T @ phi, (x > 0).sum(axis=0)]
+            of[lang] = [a + b for a, b in zip(of[lang], new)] if lang in of else new
+        for lang, (n, phi, gram, bins) in of.items():
+            yield pa.RecordBatch.from_pylist([{"lang": lang, "n": n, "phi": phi.tobytes(), "gram": gram.tobytes(), "bins": bins.astype(np.int64).tobytes()}])
+
+    return rows.mapInArrow(run, "lang string, n long, phi binary, gram binary, bins binary").collect()
+
+
+def _familiarities(rows: DataFrame, langs: list[str], counts: list[int], familiar: np.ndarray) -> list:
+    """lang and, of every text with bins, the mean share of the language's other texts that have its bins."""
+    shared = rows.sparkSession.sparkContext.broadcast(({lang: k for k, lang in enumerate(langs)}, counts, familiar))
+
+    def run(batches):
+        at, n, share = shared.value
+        for lang, x in _by_lang(batches):
+            k, own = at[lang], x > 0
+            size = own.sum(axis=1)
+            if n[k] > 1 and size.any():
+                value = ((own @ (share[k].astype(np.float64) * n[k]) - size) / (n[k] - 1))[size > 0] / size[size > 0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value)), pa.array(value)], names=["lang", "value"])
+
+    return rows.mapInArrow(run, "lang string, value double").groupBy("lang").agg(F.sort_array(F.collect_list("value")).alias("values")).collect()
+
+
+def train(labelled: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    sample = cut(training_sample(labelled, per_lang))
+    picked = sample.select("lang", "key").orderBy("key", "lang").collect()
+    if not picked:
+        return Model([])
+    chosen = [picked[k] for k in pick_landmarks([r.lang for r in picked], landmarks)]
+    wanted = {(r.lang, r.key) for r in chosen}
+    bits = {(r.lang, r.key): bytes(r.bits) for r in sample.where(F.col("key").isin([r.key for r in chosen])).collect() if (r.lang, r.key) in wanted}
+    features = Features(rows_of_bits([bits[r.lang, r.key] for r in chosen]))
+    # a language is summed in one task, in the order of its keys, so that the sums don't depend on the layout
+    rows = sample.repartition("lang").sortWithinPartitions("lang", "key")
+    found = sorted(_sums(rows, features), key=lambda r: r.lang)
+    read = lambda x, kind=np.float64: np.frombuffer(bytes(x), kind)
+    counts = [r.n for r in found]
+    familiar = np.array([read(r.bins, np.int64) / r.n for r in found], np.float32)
+    m = len(read(found[0].phi))
+    gram = sum(read(r.gram).reshape(m, m) for r in found)
+    model = Model([r.lang for r in found], features, gram, [read(r.phi) for r in found], familiar, ridge)
+    for r in _familiarities(rows, model.langs, counts, familiar):
+        model.least[model.langs.index(r.lang)] = MARGIN * np.quantile(r["values"], QUANTILE)
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
