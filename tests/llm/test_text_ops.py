@@ -85,16 +85,32 @@ def test_bpe_equals_tiktoken(spark):
     reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(2)
     texts = [t or "" for _, t in ODD] + ["".join(rng.choice(" \n\tab1é'漢.s<|>▁") for _ in range(60)) for _ in range(500)] + ["<|endoftext|>", "a" * 3000, "don't  we'll\n\n x "]
-    own = bpe.ByteBPE(bpe.serialise(ranks), P.PATTERN)
-    for t, ids in zip(texts, own.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t)
-        assert own.decode(ids) == t.encode()
+    for blank_begins in (False, True):
+        own = bpe.ByteBPE(bpe.serialise(ranks), P.PATTERN, blank_begins)
+        for t, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t)
+            assert own.decode(ids) == t.encode()
     got = bpe.encode_documents(odd(spark), path, P.PATTERN)
     assert got.count() == len(ODD) and got.where("NOT round_trip").count() == 0
     assert got.where("doc_id IN (1, 2)").select("n_tokens").distinct().collect()[0][0] == 0
     assert bpe.encode_documents(empty(spark), path, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("pattern", [r"\w+|\W", r"(\S)\s?|\s+", r" ?[a-z]+|[^a-z]"])
+def test_bpe_with_other_patterns(pattern):
+    """Patterns for which a blank begins no match, or with groups: as the library cuts them."""
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path(entries.VOCABULARY_FILE)
+    ranks = bpe.read_ranks(path)
+    own = bpe.ByteBPE(bpe.serialise(ranks), pattern)
+    theirs = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a bc  def, ghi 12 x", " x", "tab\tand é 漢字 " * 30, "a" * 500]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [theirs.encode_ordinary(t) for t in texts]
+    assert max(map(len, own.kept), default=0) <= bpe.LONGEST
+
+
 def test_bpe_cache_is_bounded(monkeypatch):
     import public_tokenizers as P
 

@@ -8,13 +8,14 @@ then merging the lowest rank.  Texts are cut by the pattern of the rank file's
 publisher; each match is encoded separately (a match that is itself a token is
 that token), and ids are decoded by the inverse mapping.
 
-A single blank between two characters that aren't white space is always the
-beginning of a match, so texts are cut there first, and the ids of recently
-seen pieces are kept in a bounded table.
+With patterns for which a single blank between two characters that aren't
+white space is always the beginning of a match (blank_begins), texts are cut
+there first.  The ids of recently seen pieces are kept in a bounded table.
 
 Cases: null text counts as empty and has no ids; special tokens in a text are
 ordinary text; texts of any length are encoded whole; repeated rows give
-repeated results; an empty table gives an empty result.
+repeated results; an empty table gives an empty result.  Only doc_id and text
+are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .textbatch import slices
 
 #: The character of byte 0; the others follow.
 FIRST_CHAR = 0x100
-#: Pieces whose ids are kept at once.
-KEPT = 400_000
+#: Pieces whose ids are kept at once, and the longest that is kept, in characters.
+KEPT, LONGEST = 400_000, 64
 _TO_CHARS = {b: FIRST_CHAR + b for b in range(256)}
 _NOT_SINGLE = re.compile(r"\s | \s")
 
@@ -83,7 +84,7 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 class ByteBPE:
     """Encodes and decodes with a serialised model; made on each executor from its bytes."""
 
-    def __init__(self, model: bytes, pattern: str):
+    def __init__(self, model: bytes, pattern: str, blank_begins: bool = False):
         import regex
         import sentencepiece
 
@@ -91,18 +92,20 @@ class ByteBPE:
         n = self.sp.get_piece_size() - 1
         self.pieces = [bytes(ord(c) - FIRST_CHAR for c in self.sp.id_to_piece(i)) for i in range(n)]
         self.ranks = {t: i for i, t in enumerate(self.pieces)}
-        self.find = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.find = lambda text: [m.group() for m in compiled.finditer(text)] if compiled.groups else compiled.findall(text)
+        self.blank_begins = blank_begins
         self.kept: dict[str, bytes] = {}
 
     def _cut(self, text: str) -> list[str]:
-        if _NOT_SINGLE.search(text):
+        if not self.blank_begins or _NOT_SINGLE.search(text):
             return self.find(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
     def _learn(self, parts: set[str]) -> None:
         """Encode parts that aren't kept; matches that aren't tokens go through one call."""
-        matches = [[p] if p.isalpha() or p[0] == " " and p[1:].isalpha() else self.find(p) for p in parts]
+        matches = [self.find(p) if self.blank_begins and not (p.isalpha() or p[0] == " " and p[1:].isalpha()) else [p] for p in parts]
         one = {m: self.ranks.get(m.encode()) for m in chain.from_iterable(matches)}
         new = [m for m, r in one.items() if r is None]
         made = dict(zip(new, map(_packed, self.sp.encode([chars(m.encode()) for m in new], num_threads=1)))) if new else {}
@@ -120,7 +123,11 @@ class ByteBPE:
         if missing:
             self._learn(missing)
         kept = self.kept.__getitem__
-        return [b"".join(map(kept, c)) for c in cut]
+        out = [b"".join(map(kept, c)) for c in cut]
+        for p in missing:
+            if len(p) > LONGEST:
+                del self.kept[p]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -133,20 +140,20 @@ def _packed(ids: list[int]) -> bytes:
 _made: dict[str, ByteBPE] = {}
 
 
-def made(model: bytes, pattern: str) -> ByteBPE:
+def made(model: bytes, pattern: str, blank_begins: bool = False) -> ByteBPE:
     """One encoder for each Python process and model."""
-    key = hashlib.sha256(model + pattern.encode()).hexdigest()
+    key = f"{hashlib.sha256(model + pattern.encode()).hexdigest()}{blank_begins}"
     if key not in _made:
-        _made[key] = ByteBPE(model, pattern)
+        _made[key] = ByteBPE(model, pattern, blank_begins)
     return _made[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, blank_begins: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (if asked for), ids_sha256, decoded_sha256 and round_trip of every row."""
     model = docs.sparkSession.sparkContext.broadcast(serialise(read_ranks(ranks_path)))
 
     def run(batches):
-        bpe = made(model.value, pattern)
+        bpe = made(model.value, pattern, blank_begins)
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]

@@ -16,8 +16,9 @@ very different length are searched as separate sets, so that a few short ones
 do not make all jumps short.
 
 The items are a stated query set: they are read in blocks of BLOCK windows,
-and every block is broadcast and searched against all documents.  Documents
-never move; there is no shuffle.
+and every block is broadcast and searched against all documents.  With one
+block documents never move; with more, one block at a time is held and broadcast, each
+has a pass of its own, and the passes' findings meet the documents in a join.
 
 Cases: null or empty texts have no words, n_words 0 and no hit; items without
 words have no windows; a null item_id marks hits but is not listed; item ids
@@ -27,14 +28,17 @@ benchmark or documents table gives no hits or no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import LOWER, LOWER_TABLE, WORD_TABLE, column_bytes, gear, mix, slices, word_spans
+from .common import cut, merge_dealt, scratch
+from .textbatch import LOWER, LOWER_TABLE, WORD_TABLE, column_bytes, gear, mix, slices, word_hashes, word_spans
 
 WINDOW = 10
 #: Windows of a block: about 100 MB with their tables.
@@ -187,49 +191,112 @@ def _blocks(benchmark: DataFrame, window: int, size: int):
         yield Block(windows)
 
 
+_ADDED = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "hits"]
+
+
+def _runs(mask: np.ndarray, word_off: np.ndarray) -> list[list[list[int]]]:
+    """For each row the runs of hit words as [first, after the last]."""
+    upto = np.concatenate([[0], np.cumsum(mask)])
+    out: list[list[list[int]]] = [[] for _ in range(len(word_off) - 1)]
+    for k in np.flatnonzero(upto[word_off[1:]] > upto[word_off[:-1]]):
+        edge = np.diff(np.concatenate([[0], mask[word_off[k] : word_off[k + 1]].astype(np.int8), [0]]))
+        out[k] = [[int(a), int(b)] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+    return out
+
+
+def _result(part: pa.RecordBatch, base: list[str], n_words: np.ndarray, items: list, runs: list) -> pa.RecordBatch:
+    """The columns of base and _ADDED."""
+    lists = [sorted(s) for s in items]
+    n_hit = np.array([sum(b - a for a, b in r) for r in runs], np.int64)
+    added = [
+        pa.array(n_words, pa.int64()),
+        pa.array(n_hit),
+        pa.array([len(x) for x in lists], pa.int64()),
+        pa.array(lists, pa.list_(pa.string())),
+        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()),
+        pa.array(n_hit > 0),
+        pa.array(runs, pa.list_(pa.list_(pa.int64()))),
+    ]
+    return pa.RecordBatch.from_arrays([*[part.column(c) for c in base], *added], names=[*base, *_ADDED])
+
+
+def _key():
+    return F.md5(F.col("text").cast("binary")).alias("_k")
+
+
+def _found(docs: DataFrame, shared) -> DataFrame:
+    """_k (digest of the text), items and hits of the rows of docs in which a window of the broadcast block occurs."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                mask, word_off, items = search_rows(part.column("text"), shared.value)
+                runs = _runs(mask, word_off)
+                own = pa.array([k for k, r in enumerate(runs) if r], pa.int64())
+                cols = [part.column("_k").take(own), pa.array([sorted(items[k]) for k in own.to_pylist()], pa.list_(pa.string())), pa.array([runs[k] for k in own.to_pylist()], pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(cols, names=["_k", "items", "hits"])
+
+    return docs.select(_key(), "text").mapInArrow(run, "_k string, items array<string>, hits array<array<long>>")
+
+
+def _merge_runs(runs: list[list[int]]) -> list[list[int]]:
+    """Overlapping and adjacent runs as one, in order."""
+    out: list[list[int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _block_by_block(docs: DataFrame, blocks, base: list[str]) -> DataFrame:
+    """One pass for each block, of which one at a time is held and broadcast; then the passes' findings meet their rows."""
+    sc, parts = docs.sparkSession.sparkContext, []
+    with scratch(docs.sparkSession) as put:
+        for b in blocks:
+            shared = sc.broadcast(b)
+            parts.append(put(_found(docs, shared)))
+            shared.destroy()
+        every = functools.reduce(DataFrame.unionByName, parts)
+        # equal texts have the same findings
+        every = every.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"), F.flatten(F.collect_set("hits")).alias("_hits"))
+        joined = merge_dealt(docs.select(*[F.col(f"`{c}`") for c in base], _key()), every, ["_k"], "left").drop("_k")
+
+        def run(batches):
+            for batch in batches:
+                for part in slices(batch):
+                    n_words = np.diff(word_hashes(part.column("text"))[1])
+                    yield _result(part, base, n_words, [x or [] for x in part.column("_items").to_pylist()], [_merge_runs(x or []) for x in part.column("_hits").to_pylist()])
+
+        return cut(joined.mapInArrow(run, _schema(docs, base)))
+
+
+def _schema(docs: DataFrame, base: list[str]) -> str:
+    return ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in base), "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, hits array<array<long>>"])
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """The rows of docs with n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated and hits.
 
     hits lists the runs of hit words as [first, after the last].  Result
-    columns replace columns of docs with the same name.
+    columns replace columns of docs with the same name.  A benchmark of one
+    block needs one pass over docs and no shuffle; a larger one a pass for each block.
     """
-    sc = docs.sparkSession.sparkContext
-    added = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "hits"]
-    base = [c for c in docs.columns if c not in added]
-    blocks = [sc.broadcast(b) for b in _blocks(benchmark, window, block)] or [sc.broadcast(Block({}))]
+    base = [c for c in docs.columns if c not in _ADDED]
+    blocks = _blocks(benchmark, window, block)
+    first, second = next(blocks, Block({})), next(blocks, None)
+    if second is not None:
+        return _block_by_block(docs, itertools.chain([first, second], blocks), base)
+    shared = docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                mask, items = None, [set() for _ in range(part.num_rows)]
-                for b in blocks:
-                    hit, word_off, found = search_rows(part.column("text"), b.value)
-                    mask = hit if mask is None else mask | hit
-                    for mine, more in zip(items, found):
-                        mine |= more
-                upto = np.concatenate([[0], np.cumsum(mask)])
-                n_hit = upto[word_off[1:]] - upto[word_off[:-1]]
-                runs = []
-                for k in range(part.num_rows):
-                    edge = np.diff(np.concatenate([[0], mask[word_off[k] : word_off[k + 1]].astype(np.int8), [0]])) if n_hit[k] else np.zeros(0)
-                    runs.append([[int(a), int(b)] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
-                lists = [sorted(s) for s in items]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[part.column(c) for c in base],
-                        pa.array(np.diff(word_off), pa.int64()),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([len(x) for x in lists], pa.int64()),
-                        pa.array(lists, pa.list_(pa.string())),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]),
-                        pa.array(n_hit > 0),
-                        pa.array(runs, pa.list_(pa.list_(pa.int64()))),
-                    ],
-                    names=base + added,
-                )
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in base), "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, hits array<array<long>>"])
-    return docs.select(*[F.col(f"`{c}`") for c in base]).mapInArrow(run, schema)
+                mask, word_off, items = search_rows(part.column("text"), shared.value)
+                yield _result(part, base, np.diff(word_off), items, _runs(mask, word_off))
+
+    return docs.select(*[F.col(f"`{c}`") for c in base]).mapInArrow(run, _schema(docs, base))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from .common import table
 
 #: The vocabulary of the BPE queries: its file's name in the folder of public tokenizers.
 VOCABULARY_FILE = "byte_bpe_multi_50k.tiktoken"
+#: Its pattern has an optional blank before words, digits and signs, so that a single blank begins a match.
+BLANK_BEGINS = True
 
 
 def vocabulary() -> tuple[str, str]:
@@ -42,7 +44,7 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary(), with_ids=False)
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary(), with_ids=False, blank_begins=BLANK_BEGINS)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -76,7 +78,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
-
-
 QUERIES = {q.__name__: q for q in (op1_decontamination, op2_lm_scoring, op3_language_id, op4_repeats, op5_byte_bpe, op6_packing, op7_exact_dedup, op8_preference, op9_near_dedup, op10_toxicity)}
 ORACLE_SQL = {"op1_decontamination": decontaminate.ORACLE, "op4_repeats": repeats.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_preference": preference.ORACLE}

@@ -24,10 +24,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_key
+from .common import cut, doc_key, merge_dealt
 from .textbatch import LOWER, column_bytes, gear, slices
 
 #: A border comes after every 2**CHUNK_BITS bytes on average, and after MAX_CHUNK at most.
@@ -171,9 +171,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs; texts move once, to meet their decisions."""
     kept = exact_groups(docs).where("kept").select(doc_key().alias("_doc"), F.col("text_sha256").alias("_sha")).distinct()
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    mine = docs.withColumn("_doc", doc_key()).withColumn("_sha", F.sha2(lower.cast("binary"), 256))
-    one = F.row_number().over(Window.partitionBy("_doc", "_sha").orderBy(F.lit(1)))
-    return mine.join(kept, ["_doc", "_sha"], "left_semi").withColumn("_n", one).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows that repeat id and text are reduced before they move, however many there are
+    mine = docs.withColumn("_doc", doc_key()).withColumn("_sha", F.sha2(lower.cast("binary"), 256)).dropDuplicates(["_doc", "_sha"])
+    return merge_dealt(mine, kept, ["_doc", "_sha"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """

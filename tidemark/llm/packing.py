@@ -7,9 +7,12 @@ SEQUENCE tokens, longest first, each into the open sequence with the least
 room that is enough.  A segment tree over room sizes finds that sequence in
 logarithmic time.
 
-Packing runs in blocks of about BLOCK tokens within a task, which bounds
-memory and keeps tasks independent; a document's pieces stay in its block's
-sequences.  A row of the result is one sequence: ids (little-endian 32-bit
+Documents are dealt to blocks of about BLOCK_BYTES bytes of text by a hash of
+doc_id and text, as many blocks as all texts need, and packed in the order of that hash.
+So memory is bounded, tasks are independent, and the sequences and their
+numbers depend on the rows only, not on files or partitions.  A
+block that holds more (rows that repeat, very long texts) is packed in
+parts of BLOCK tokens.  A row of the result is one sequence: ids (little-endian 32-bit
 integers, filled with PAD), cumulative segment lengths, position ids that
 begin anew with every segment, and the document and first token of every
 segment.  `write_packed` writes the matrix in binary Parquet columns through
@@ -33,8 +36,10 @@ from .textbatch import slices
 
 SEQUENCE = 2048
 PAD = 0xFFFFFFFF
-#: Tokens packed together.
+#: Tokens packed together at most, but for one document.
 BLOCK = 1 << 20
+#: Bytes of text of a block, about.
+BLOCK_BYTES = 1 << 21
 
 
 class RoomTree:
@@ -98,36 +103,39 @@ def pieces(lengths: list[int], sequence: int) -> tuple[list[int], list[int], lis
 _encoders: dict = {}
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, sequence: int = SEQUENCE, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, sequence: int = SEQUENCE, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """sequence_id, n_tokens, n_segments, ids, cu_seqlens, position_ids, doc_ids and starts of every sequence."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    total = docs.where("text <> ''").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
 
     def run(batches):
         import tiktoken
 
-        if ranks_path not in _encoders:
-            _encoders[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        encode = _encoders[ranks_path].encode_ordinary
-        ids: list = []
-        held: list[np.ndarray] = []
-        total = 0
+        key = (ranks_path, pattern)
+        if key not in _encoders:
+            _encoders[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+        encode = _encoders[key].encode_ordinary
+        at, part, ids, held, size = None, 0, [], [], 0
         for batch in batches:
-            for part in slices(batch):
-                for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    if t:
-                        ids.append(i)
-                        held.append(np.array(encode(t), np.uint32))
-                        total += len(held[-1])
-                        if total >= block:
-                            yield sequences(ids, held)
-                            ids, held, total = [], [], 0
+            for rows in slices(batch):
+                for b, i, t in zip(rows.column("_b").to_pylist(), rows.column("doc_id"), rows.column("text").to_pylist()):
+                    if held and (b != at or size >= block):
+                        yield sequences(at, part, ids, held)
+                        part = part + 1 if b == at else 0
+                        ids, held, size = [], [], 0
+                    part = part if b == at else 0
+                    at = b
+                    ids.append(i)
+                    held.append(np.array(encode(t), np.uint32))
+                    size += len(held[-1])
         if held:
-            yield sequences(ids, held)
+            yield sequences(at, part, ids, held)
 
     kind = docs.schema["doc_id"].dataType
-    arrow = pa.int64() if kind.simpleString() == "bigint" else pa.string() if kind.simpleString() == "string" else pa.int32()
 
-    def sequences(ids: list, held: list[np.ndarray]) -> pa.RecordBatch:
+    def sequences(at: int, part: int, ids: list[pa.Scalar], held: list[np.ndarray]) -> pa.RecordBatch:
+        own = pa.array(ids, ids[0].type)
         doc, first, size = pieces([len(x) for x in held], sequence)
         rows = []
         for members in best_fit_decreasing(size, sequence):
@@ -137,14 +145,20 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, sequence: int = SEQUENC
             positions[: len(flat)] = np.arange(len(flat)) - np.repeat(bounds[:-1], np.diff(bounds))
             row = np.full(sequence, PAD, np.uint32)
             row[: len(flat)] = flat
-            rows.append((len(flat), len(members), row.astype("<u4").tobytes(), bounds.tolist(), positions.astype("<u4").tobytes(), [ids[doc[m]] for m in members], [first[m] for m in members]))
+            rows.append((len(flat), len(members), row.astype("<u4").tobytes(), bounds.tolist(), positions.astype("<u4").tobytes(), [doc[m] for m in members], [first[m] for m in members]))
         cols = list(zip(*rows))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(arrow), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["n_tokens", "n_segments", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts"])
-
-    schema = f"n_tokens long, n_segments long, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind.simpleString()}>, starts array<long>"
-    packed = docs.select("doc_id", "text").mapInArrow(run, schema)
-    return packed.select(F.monotonically_increasing_id().alias("sequence_id"), "*")
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
+        arrays[5] = pa.ListArray.from_arrays(arrays[5].offsets, own.take(arrays[5].values))
+        # room for 2**26 blocks, and in each for 2**17 parts of 2**20 sequences
+        numbers = [(at << 37) + (part << 20) + k for k in range(len(rows))]
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *arrays], names=["sequence_id", "n_tokens", "n_segments", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts"])
+
+    schema = f"sequence_id long, n_tokens long, n_segments long, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind.simpleString()}>, starts array<long>"
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    mine = docs.where("text <> ''").select("doc_id", "text", F.pmod(key, F.lit(blocks)).alias("_b"), key.alias("_k"))
+    dealt = mine.repartition("_b").sortWithinPartitions("_b", "_k", "doc_id", "text")
+    return dealt.select("doc_id", "text", "_b").mapInArrow(run, schema)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
