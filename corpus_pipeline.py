@@ -9,6 +9,12 @@ Five stages, each over all rows that its predecessor kept:
   encode     texts become token ids, decoded again as a check (op 5)
 
 All but the last return the columns of documents.
+
+Cases: texts that are null, empty or without a letter are in no language and
+go in the first stage, as all texts do if none is labelled; of rows that
+repeat doc_id and text one stays; a null doc_id is kept as it is; an
+empty table gives an empty result; columns beyond those of documents pass
+through all stages but the last.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, exact_dedup, langid, near_dedup
 from tidemark.llm.common import cut, scratch
-from tidemark.llm.entries import vocabulary
+from tidemark.llm.entries import BLANK_BEGINS, vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +44,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, *vocabulary())
+    return bpe.encode_documents(docs, *vocabulary(), blank_begins=BLANK_BEGINS)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("benchmark", benchmark), ("encode", encode)]
