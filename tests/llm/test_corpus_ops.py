@@ -119,6 +119,31 @@ def test_repeats(spark, large):
     assert got == plain_repeats(rows, 40)
 
 
+def plain_passages(rows, n, words):
+    """The covered runs of at least so many words, in bytes."""
+    count = collections.Counter(b[p : p + n] for _, t in rows for b in [(t or "").encode()] for p in range(len(b) - n + 1))
+    out = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - n + 1):
+            if count[b[p : p + n]] > 1:
+                gone[p : p + n] = b"\1" * n
+        out[i] = [list(m.span()) for m in re.finditer(b"\1+", bytes(gone)) if len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", b[m.start() : m.end()])) >= words]
+    return out
+
+
+@pytest.mark.parametrize("large", [1000, 4])
+def test_passages_shorter_than_what_is_removed(spark, large):
+    rng = random.Random(12)
+    say = lambda k: " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(2, 5))) for _ in range(k))
+    passages = [say(9) for _ in range(3)]
+    rows = [(i, f"{say(rng.randint(0, 9))}. {rng.choice(passages)[rng.randint(0, 6):]}, {say(rng.randint(0, 9))}") for i in range(80)]
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs_of(spark, rows), 60, 10, large, 24, 6).collect()}
+    assert {i: r.passages for i, r in got.items()} == plain_passages(rows, 24, 6) and any(r.passages and not r.removed for r in got.values())
+    assert {i: (r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for i, r in got.items()} == plain_repeats(rows, 60)
+
+
 def test_long_texts_are_scanned_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 1000)
     rng = random.Random(4)

@@ -63,3 +63,22 @@ def scratch(spark: SparkSession):
 def merge_dealt(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A sort-merge join whatever the sizes, for sides that both grow with the input."""
     return left.join(right.hint("merge"), on, how)
+
+
+#: A key is heavy if it has more than one in SHARE of all rows: there are fewer than SHARE of them, whatever the table.
+SHARE = 10_000
+
+
+def heavy(counts: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """The heavy keys of a table of keys and their rows, and the parts in which each is dealt: fewer than SHARE rows."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    parts = F.ceil(F.col(n) * SHARE / F.lit(max(total, 1))).cast("long")
+    return counts.where(F.col(n) * SHARE > total).where(F.col(n) > SHARE).select(*on, F.least(parts, F.lit(1000)).alias("_parts"))
+
+
+def merge_split(left: DataFrame, right: DataFrame, on: list[str], heavies: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join that deals the left rows of each heavy key in parts, by a hash of `by`; right has few rows of a key."""
+    few = F.broadcast(heavies)  # bounded by SHARE
+    left = left.join(few, on, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    right = right.join(few, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return merge_dealt(left, right, [*on, "_part"], how).drop("_part")

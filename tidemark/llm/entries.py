@@ -40,7 +40,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = repeats.remove_repeats(table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256", F.size("passages").cast("long").alias("n_passages"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ RIDGE = 1e-2
 #: The least familiarity of a language is MARGIN times what all but QUANTILE of its training texts reach.
 QUANTILE, MARGIN = 0.01, 0.85
 #: Rows scored by one matrix product.
-ROWS = 256
+ROWS = 128
 #: So many times PER_LANG rows pass the threshold from which the sample is taken, about.
 SLACK = 3
 
@@ -73,7 +73,8 @@ def presence(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         at = base[: len(gram)] + (mixed >> np.uint32(32 - DIMS.bit_length() + 1)).astype(np.int64)
         flat[at[left[: len(gram)] >= n]] = 1
     size = np.sqrt(out.sum(axis=1, keepdims=True))
-    return out / np.maximum(size, 1)
+    out /= np.maximum(size, 1)
+    return out
 
 
 def bits_of(buf: np.ndarray, off: np.ndarray) -> list[bytes]:
