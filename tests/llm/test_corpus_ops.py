@@ -144,6 +144,29 @@ def test_passages_shorter_than_what_is_removed(spark, large):
     assert {i: (r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for i, r in got.items()} == plain_repeats(rows, 60)
 
 
+@pytest.mark.parametrize("n", [2, 5, 30, 200])
+def test_cover_of_groups_of_any_size(n):
+    """Interval by interval, with arrays, and by comparing all pairs."""
+    rng = random.Random(n)
+    for _ in range(10):
+        sides = [["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(6)] for _ in range(2)]
+        made = {(rng.choice(sides[0]) + rng.choice("xy"), "core" + rng.choice("xy") + rng.choice(sides[1])) for _ in range(n)}
+        texts = [((a + b).encode(), len(a)) for a, b in sorted(made)]
+        weights = [rng.choice([1, 1, 3]) for _ in texts]
+        want: dict = {}
+        for i, (x, p) in enumerate(texts):
+            for j, (y, q) in enumerate(texts):
+                if i != j or weights[i] > 1:
+                    l = repeats.common(x[:p][::-1], y[:q][::-1])
+                    r = repeats.common(x[p:], y[q:])
+                    for k, length in enumerate((12, 8)):
+                        if l + r >= length and r >= 4:
+                            a, b = want.get((i, k), (0, 0))
+                            want[i, k] = (max(a, l), max(b, r))
+        for few in (1000, 0):
+            assert repeats.cover([t for t, _ in texts], [p for _, p in texts], weights, (12, 8), 4, few) == want
+
+
 def test_long_texts_are_scanned_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 1000)
     rng = random.Random(4)

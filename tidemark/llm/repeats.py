@@ -55,8 +55,10 @@ from .textbatch import WORD_TABLE, RollingHash, column_bytes, mix, slices
 LENGTH = 400
 #: Bytes of the strings that make up passages, and the least words of a passage.
 PASSAGE, PASSAGE_WORDS = 256, 51
-CORE = 64
-LARGE = 1000
+CORE = 100
+LARGE = 2000
+#: Rows that a task holds as Python objects at once, about.
+ROWS = 4000
 #: Bytes scanned at once.
 BLOCK = 1 << 20
 _GRAM = 16
@@ -190,15 +192,78 @@ def tree(contexts: list[bytes], offsets: list[int], weights: list[int], length:
                 yield reach, depth, own
 
 
-def cover(contexts: list[bytes], offsets: list[int], weights: list[int], lengths: tuple[int, ...], core: int = CORE) -> dict[tuple[int, int], tuple[int, int]]:
-    """For each context and each number of a length: how far left and right of the anchor the union of its repeats of that length reaches."""
+class _RangeMin:
+    """The least value of any range of an array."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while len(self.levels[-1]) > 1 << (len(self.levels) - 1):
+            x, k = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(x[:-k], x[k:]))
+        self.log = np.zeros(len(values) + 2, np.int64)
+        for k in range(2, len(self.log)):
+            self.log[k] = self.log[k // 2] + 1
+
+    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of values[first:end]; no range is empty."""
+        k = self.log[end - first]
+        out = np.empty(len(first), np.int64)
+        for level in np.unique(k):
+            at = np.flatnonzero(k == level)
+            x = self.levels[level]
+            out[at] = np.minimum(x[first[at]], x[end[at] - (1 << level)])
+        return out
+
+
+#: Groups of so many contexts are covered interval by interval, larger ones with arrays.
+FEW = 12
+
+
+def cover(contexts: list[bytes], offsets: list[int], weights: list[int], lengths: tuple[int, ...], core: int = CORE, few: int = FEW) -> dict[tuple[int, int], tuple[int, int]]:
+    """For each context and each number of a length: how far left and right of the anchor the union of its repeats of that length reaches.
+
+    In an interval of depth d the members are put in the order of their left
+    extensions; a member's repeats reach as far left as it agrees with one of its two
+    neighbours.  Intervals whose repeats aren't maximal add nothing to the union.
+    """
     out: dict[tuple[int, int], tuple[int, int]] = {}
-    for reach, depth, members in tree(contexts, offsets, weights, min(lengths), core):
-        for k, n in enumerate(lengths):
-            if reach + depth >= n:
-                for m in members:
-                    a, b = out.get((m, k), (0, 0))
-                    out[m, k] = (max(a, reach), max(b, depth))
+    n = len(contexts)
+    if n <= few:
+        for reach, depth, members in tree(contexts, offsets, weights, min(lengths), core):
+            for k, length in enumerate(lengths):
+                if reach + depth >= length:
+                    for m in members:
+                        a, b = out.get((m, k), (0, 0))
+                        out[m, k] = (max(a, reach), max(b, depth))
+        return out
+    right = [c[o:] for c, o in zip(contexts, offsets)]
+    left = [c[:o][::-1] for c, o in zip(contexts, offsets)]
+    order = sorted(range(n), key=right.__getitem__)
+    by_left = np.array(sorted(range(n), key=left.__getitem__))
+    rank = np.empty(n, np.int64)
+    rank[by_left] = np.arange(n)
+    lcp = [common(right[a], right[b]) for a, b in zip(order, order[1:])]
+    agree = _RangeMin(np.array([common(left[a], left[b]) for a, b in zip(by_left, by_left[1:])], np.int64))
+    ranks = rank[order]
+    l, r = (np.full((len(lengths), n), -1, np.int64) for _ in range(2))  # by rank
+    for w in np.flatnonzero(np.array(weights) > 1):  # several occurrences of the whole
+        for k, length in enumerate(lengths):
+            if len(contexts[w]) >= length:
+                l[k, rank[w]], r[k, rank[w]] = offsets[w], len(right[w])
+    for depth, first, last in intervals(lcp, core):
+        members = np.sort(ranks[first : last + 1])
+        near = agree(members[:-1], members[1:])
+        reach = np.zeros(len(members), np.int64)
+        reach[:-1] = near
+        reach[1:] = np.maximum(reach[1:], near)
+        for k, length in enumerate(lengths):
+            own = reach + depth >= length
+            at = members[own]
+            l[k, at] = np.maximum(l[k, at], reach[own])
+            r[k, at] = np.maximum(r[k, at], depth)
+    for k in range(len(lengths)):
+        for x in np.flatnonzero(r[k] >= 0):
+            out[int(by_left[x]), k] = (int(l[k, x]), int(r[k, x]))
     return out
 
 
@@ -211,10 +276,17 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for text, own in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("w").to_pylist()):
-                rows += [(x["key"], x["f"], x["key"], x["f"], x["c"], x["lo"], x["hi"], text[x["at"] - x["lo"] : x["at"] + x["hi"]]) for x in own]
-            yield _batch(rows)
+            for part in slices(batch, max_bytes=BLOCK):
+                rows = []
+                for text, own in zip(part.column("text"), part.column("w")):
+                    data = (text.as_py() or "").encode()
+                    for x in own:
+                        key, f, c, at, lo, hi = (x[k].as_py() for k in ("key", "f", "c", "at", "lo", "hi"))
+                        rows.append((key, f, key, f, c, lo, hi, data[at - lo : at + hi]))
+                        if len(rows) >= ROWS:
+                            yield _batch(rows)
+                            rows = []
+                yield _batch(rows)
 
     return merge_dealt(_texts(docs), lists, ["_doc", "_t"]).select("text", "w").mapInArrow(run, _CONTEXTS)
 
@@ -296,6 +368,9 @@ def _halve(rows: DataFrame, level: int, length: int, core: int) -> DataFrame:
                         shared, own = ctx[lo - s : lo - (e - 1) + length], ctx[lo - high : lo - low + length]
                         k2, f2 = (int.from_bytes(hashlib.blake2b(x, digest_size=8, person=b"%d %d" % (level, s)).digest(), "little", signed=True) for x in (shared, own + b"%d" % (high - low)))
                         out.append((okey, of, k2, f2, c, high, length - low, own))
+                if len(out) >= ROWS:
+                    yield _batch(out)
+                    out = []
             yield _batch(out)
 
     return rows.select("okey", "of", "key", "f", "c", "lo", "hi", "context").mapInArrow(run, _CONTEXTS)
