@@ -55,8 +55,9 @@ from .textbatch import WORD_TABLE, RollingHash, column_bytes, mix, slices
 LENGTH = 400
 #: Bytes of the strings that make up passages, and the least words of a passage.
 PASSAGE, PASSAGE_WORDS = 256, 51
-CORE = 100
-LARGE = 2000
+CORE = 64
+#: Contexts of a core that one task gathers; the common prefixes have a bounded length, so the scan's work grows in proportion to them.
+LARGE = 20_000
 #: Rows that a task holds as Python objects at once, about.
 ROWS = 4000
 #: Bytes scanned at once.
@@ -432,8 +433,6 @@ def spans(docs: DataFrame, lengths: tuple[int, ...], core: int = CORE, large: in
         covered = put(covered.groupBy("key", "f", "which").agg(F.max("l").alias("l"), F.max("r").alias("r")))
         own = merge_split(found.select("key", "f", "_doc", "_t", "at"), covered, ["key", "f"], heavy(distinct.withColumnRenamed("c", "n"), ["key", "f"]), ["_doc", "at"])
         pairs = own.select("_doc", "_t", "which", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + F.col("r")).alias("e"))
-        # of rows that repeat id and text, one has all spans
-        pairs = pairs.distinct()
         by_start = Window.partitionBy("_doc", "_t", "which").orderBy("s", "e")
         before = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
         runs = pairs.withColumn("new", F.when(F.col("s") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
