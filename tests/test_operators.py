@@ -316,3 +316,65 @@ def test_sessions(spark):
     assert seen["cursor"] == made["warmup"] + 20 and not seen["done"] and len(seen["strategies"]) == 9
     assert api.tick(made["id"], 10_000)["done"]
     assert api.delete(made["id"]) and api.health()["sessions"] == 0
+
+
+@pytest.mark.parametrize(
+    "returns, total, drawdown, calmar",
+    [
+        ([0.1, -1.0, 0.05, 0.02], -1.0, -1.0, -math.inf),
+        ([0.1, -1.5, 0.05], 1.1 * -0.5 * 1.05 - 1, None, -math.inf),
+        ([0.1, float("nan"), -0.05, float("inf"), None], 1.1 * 0.95 - 1, -0.05, None),
+        ([0.1], 0.1, 0.0, "null"),
+    ],
+)
+def test_metrics_of_lost_and_undefined_returns(spark, returns, total, drawdown, calmar):
+    own = [x for x in returns if x is not None and math.isfinite(x)]
+    df = spark.createDataFrame(list(enumerate(returns)), "ts int, net double")
+    s = metrics.summary(df).first()
+    assert s.n_periods == len(returns) and s.n_returns == len(own)
+    assert s.total_return == pytest.approx(total) and s.mean_annual == pytest.approx(np.mean(own) * 252)
+    if drawdown is not None:
+        assert s.max_drawdown == pytest.approx(drawdown) and metrics.max_drawdown(df).first()[0] == pytest.approx(drawdown)
+    if calmar == "null":
+        assert s.calmar is None and s.sharpe is None and s.sortino is None
+    elif calmar is not None:
+        assert s.calmar == calmar
+    else:
+        assert s.calmar == pytest.approx(((1 + total) ** (252 / len(own)) - 1) / abs(drawdown))
+
+
+def test_walk_forward_logs_a_trial_for_each_point(spark, prices, tmp_path):
+    """A sweep costs as many trials as it has points, and raises the threshold for all later results."""
+    log = str(tmp_path / "trials")
+    points = validate.grid(window=[5, 10, 20])
+    run = lambda p: validate.walk_forward(prices, SIGNALS["zscore_reversion"], p, 100, 40, None, 20, log=log, at="2024-01-01")
+    folds = run(points).where("selected").count()
+    assert validate.trial_count(validate.read_trials(spark, log)) == 3
+    before = validate.current_threshold(validate.read_trials(spark, log), 300)["n_trials"]
+    run(points)
+    assert before == 3 and validate.trial_count(validate.read_trials(spark, log)) == 6
+    book = validate.walk_forward_book(prices, SIGNALS["zscore_reversion"], points, 100, 40, None, 20)
+    assert book.count() == folds * 40 == book.select("bar_idx").distinct().count()
+
+
+def test_grid_logs_its_tests(spark, prices, tmp_path):
+    from tidemark.plans import ic_grid
+    from tidemark.plans.queries import REGISTRY
+
+    log = str(tmp_path / "trials")
+    grid = ic_grid.run_grid(spark, prices, REGISTRY, session_length=None, log=log, at="2024-01-01")
+    trials = validate.read_trials(spark, log)
+    assert validate.trial_count(trials) == grid.count() == 8 and validate.trial_sharpes(trials).count() == 0
+
+
+def test_regimes_begin_with_their_long_run_share(spark):
+    first = simulate.regime_switching(spark, 3, 1, list(range(300)), p_stay_trend=0.99, p_stay_chop=0.9, with_states=True).where("bar_idx = 0")
+    assert 0.84 < first.where("state = 'trend'").count() / 300 < 0.97  # (1 - 0.9) / (0.01 + 0.1)
+    with pytest.raises(ValueError):
+        simulate.regime_switching(spark, 3, p_stay_trend=1.2)
+
+
+def test_signal_parameters_are_checked():
+    with pytest.raises(ValueError):
+        SIGNALS["zscore_reversion"](window=1)
+    assert SIGNALS["random_signal"]().label == "random_signal(seed=0)" and SIGNALS["always_long"]().label == "always_long()"

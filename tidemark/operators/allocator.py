@@ -112,6 +112,8 @@ def trade_budget(targets: DataFrame, budget: int, cost_bps: float, edge_bps: flo
     kinds = ", ".join(f"{k} {targets.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # of rows that repeat a bar and symbol, the one with the greatest target
+        pdf = pdf.sort_values(["desired", "edge"], na_position="first").drop_duplicates(["bar_idx", "symbol"], keep="last")
         desired = pdf.pivot(index="bar_idx", columns="symbol", values="desired").sort_index()
         edge = pdf.pivot(index="bar_idx", columns="symbol", values="edge").reindex_like(desired).fillna(0.0).to_numpy()
         stamps = pdf.groupby("bar_idx")["ts"].first().sort_index()

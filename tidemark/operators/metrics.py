@@ -1,7 +1,7 @@
 """Performance metrics of return series and the statistics of many trials.
 
 Column metrics are aggregate expressions, so any number of series is measured
-in one groupBy; scalars are plain Python.
+in one groupBy; scalars are plain Python.  NaN and infinite returns are undefined, like null.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import statistics
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import col, ratio
+from tidemark.functions.scalars import col, defined, ratio
 
 EULER = 0.5772156649015329
 _NORMAL = statistics.NormalDist()
@@ -20,8 +20,8 @@ _NORMAL = statistics.NormalDist()
 
 def sharpe(r: Column | str, per_year: float = 252.0, risk_free: float = 0.0, annual: bool = True) -> Column:
     """Mean over sample deviation of the excess returns; null below two returns or without variation."""
-    sd = F.stddev_samp(col(r))
-    out = ratio(F.avg(col(r)) - risk_free / per_year, sd)
+    r = defined(r)
+    out = ratio(F.avg(r) - risk_free / per_year, F.stddev_samp(r))
     return out * math.sqrt(per_year) if annual else out
 
 
@@ -34,27 +34,33 @@ def deannualize(x: Column | float, per_year: float = 252.0):
 
 
 def sortino(r: Column | str, per_year: float = 252.0, target: float = 0.0, annual: bool = True) -> Column:
-    """Mean excess over the root mean square shortfall, taken over all returns."""
-    short = F.least(col(r) - target, F.lit(0.0))
-    out = ratio(F.avg(col(r) - target), F.sqrt(F.avg(F.when(col(r).isNotNull(), short * short))))
+    """Mean excess over the root mean square shortfall, taken over all returns; null below two."""
+    r = defined(r)
+    short = F.least(r - target, F.lit(0.0))
+    out = F.when(F.count(r) > 1, ratio(F.avg(r - target), F.sqrt(F.avg(F.when(r.isNotNull(), short * short)))))
     return out * math.sqrt(per_year) if annual else out
 
 
 def hit_rate(r: Column | str) -> Column:
-    return ratio(F.count_if(col(r) > 0).cast("double"), F.count_if(col(r) != 0))
+    r = defined(r)
+    return ratio(F.count_if(r > 0).cast("double"), F.count_if(r != 0))
 
 
 def equity(df: DataFrame, r: str = "net", keys: tuple[str, ...] = (), order: str = "ts", compound: bool = True) -> DataFrame:
-    """equity, its running peak and drawdown; the peak starts at the first equity point."""
+    """equity, its running peak and drawdown; the peak starts at the first equity point.
+
+    Compounded equity is the product of 1 + r: a bar that loses everything ends it at 0,
+    and the drawdown against a peak of 0 is null.
+    """
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    zero = F.coalesce(r, F.lit(0.0))
-    value = F.exp(F.sum(F.log1p(zero)).over(w)) if compound else F.lit(1.0) + F.sum(zero).over(w)
+    zero = F.coalesce(defined(r), F.lit(0.0))
+    value = F.product(F.lit(1.0) + zero).over(w) if compound else F.lit(1.0) + F.sum(zero).over(w)
     out = df.withColumn("equity", value).withColumn("peak", F.max("equity").over(w))
-    return out.withColumn("drawdown", F.col("equity") / F.col("peak") - 1 if compound else F.col("equity") - F.col("peak"))
+    return out.withColumn("drawdown", ratio("equity", "peak") - 1 if compound else F.col("equity") - F.col("peak"))
 
 
 def max_drawdown(df: DataFrame, r: str = "net", keys: tuple[str, ...] = (), order: str = "ts", compound: bool = True) -> DataFrame:
-    return equity(df.where(F.col(r).isNotNull()), r, keys, order, compound).groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
+    return equity(df.where(defined(r).isNotNull()), r, keys, order, compound).groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
 
 
 def turnover(positions: DataFrame, per_year: float = 252.0, column: str = "position") -> DataFrame:
@@ -66,9 +72,10 @@ def turnover(positions: DataFrame, per_year: float = 252.0, column: str = "posit
 
 def kurtosis_pair(r: Column | str) -> tuple[Column, Column]:
     """Unbiased skewness and unbiased kurtosis (normal: 3), from Spark's population moments."""
-    n = F.count(col(r)).cast("double")
-    skew = F.skewness(col(r)) * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
-    excess = (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(col(r)) + 6)
+    r = defined(r)
+    n = F.count(r).cast("double")
+    skew = F.skewness(r) * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
+    excess = (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(r) + 6)
     return skew, excess + 3
 
 
@@ -79,9 +86,9 @@ def summary(df: DataFrame, r: str = "net", keys: tuple[str, ...] = (), order: st
     last = F.max_by("equity", order)
     out = curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_periods"),
-        F.count(r).alias("n_returns"),
-        (F.avg(r) * per_year).alias("mean_annual"),
-        (F.stddev_samp(r) * math.sqrt(per_year)).alias("vol_annual"),
+        F.count(defined(r)).alias("n_returns"),
+        (F.avg(defined(r)) * per_year).alias("mean_annual"),
+        (F.stddev_samp(defined(r)) * math.sqrt(per_year)).alias("vol_annual"),
         sharpe(r, per_year).alias("sharpe"),
         sharpe(r, per_year, annual=False).alias("sharpe_per_period"),
         sortino(r, per_year).alias("sortino"),
@@ -94,7 +101,7 @@ def summary(df: DataFrame, r: str = "net", keys: tuple[str, ...] = (), order: st
     years = F.col("n_returns") / per_year
     cagr = F.pow(F.col("total_return") + 1, F.lit(1.0) / years) - 1
     calmar = F.when(F.col("total_return") <= -1, F.lit(float("-inf"))).otherwise(ratio(cagr, F.abs("max_drawdown")))
-    return out.withColumn("calmar", calmar)
+    return out.withColumn("calmar", F.when(F.col("n_returns") > 1, calmar))
 
 
 def sharpe_variance(sharpes: list[float]) -> float:

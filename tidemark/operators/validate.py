@@ -29,14 +29,8 @@ def folds(n: int, train: int, test: int, step: int | None = None) -> list[tuple[
     return [(k, s, s + train, s + train + test) for k, s in enumerate(range(0, n - train - test + 1, step))]
 
 
-def walk_forward(panel: DataFrame, factory, points: list[dict[str, Any]], train: int = 504, test: int = 126, step: int | None = None, warmup: int = 0, cost_bps: float = 2.0, lag: int = 1) -> DataFrame:
-    """One row for each fold and parameter point: train and test Sharpe ratio and return, and which point was selected.
-
-    factory(**point) is a signal.  Signals use the past only, so each point is
-    computed once over the whole panel; a block takes the `warmup` bars before it as
-    context and drops as many at its beginning as are missing there.  All folds
-    and points are one plan, keyed by both.
-    """
+def _blocks(panel: DataFrame, factory, points: list[dict[str, Any]], train: int, test: int, step: int | None, warmup: int, cost_bps: float, lag: int) -> DataFrame:
+    """The net book of every fold, point and kind (train, test) by bar, in one plan."""
     spark = panel.sparkSession
     n = panel.agg(F.max("bar_idx") + 1).first()[0] or 0
     blocks = [(k, i, kind, lo, hi, max(0, lo - warmup)) for k, a, b, c in folds(n, train, test, step) for i in range(len(points)) for kind, lo, hi in (("train", a, b), ("test", b, c))]
@@ -45,20 +39,51 @@ def walk_forward(panel: DataFrame, factory, points: list[dict[str, Any]], train:
     for i, p in enumerate(points):
         own = factory(**p)(panel).select("ts", "bar_idx", "symbol", "ret", "signal").withColumn("point", F.lit(i))
         every = own if every is None else every.unionByName(own)
-    # a bar belongs to few blocks: the table of blocks is folds x points x 2 rows
+    # the table of blocks has folds x points x 2 rows, whatever the number of symbols
     rows = every.join(F.broadcast(table), "point").where("bar_idx >= first AND bar_idx < hi")
     rows = rows.withColumn("ret", F.when(F.col("bar_idx") > F.col("first"), F.col("ret")))  # a block's first bar has no return
-    book = backtest(rows, "signal", cost_bps, lag, keys=("fold", "point", "kind", "lo", "first")).where(F.col("bar_idx") >= F.greatest("lo", F.col("first") + warmup))
+    return backtest(rows, "signal", cost_bps, lag, keys=("fold", "point", "kind", "lo", "first")).where(F.col("bar_idx") >= F.greatest("lo", F.col("first") + warmup))
+
+
+def _scores(book: DataFrame) -> DataFrame:
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     scores = book.groupBy("fold", "point", "kind").agg(metrics.sharpe("net").alias("sharpe"), F.sum("net").alias("total"))
-    pairs = scores.groupBy("fold", "point").agg(
-        F.max(F.when(F.col("kind") == "train", F.col("sharpe"))).alias("train_sharpe"),
-        F.max(F.when(F.col("kind") == "test", F.col("sharpe"))).alias("test_sharpe"),
-        F.max(F.when(F.col("kind") == "test", F.col("total"))).alias("test_return"),
-    )
+    pairs = scores.groupBy("fold", "point").agg(of("train", "sharpe").alias("train_sharpe"), of("test", "sharpe").alias("test_sharpe"), of("test", "total").alias("test_return"))
     best = Window.partitionBy("fold").orderBy(F.coalesce("train_sharpe", F.lit(float("-inf"))).desc(), "point")
     return pairs.withColumn("selected", F.row_number().over(best) == 1)
 
 
+def walk_forward(panel: DataFrame, factory, points: list[dict[str, Any]], train: int = 504, test: int = 126, step: int | None = None, warmup: int = 0, cost_bps: float = 2.0, lag: int = 1, log: str | None = None, at: str = "") -> DataFrame:
+    """One row for each fold and parameter point: train and test Sharpe ratio and return, and which point was selected.
+
+    factory(**point) is a signal.  Signals use the past only, so each point is
+    computed once over the whole panel; a block takes the `warmup` bars before it as
+    context and drops as many at its beginning as are missing there.  All folds
+    and points are one plan, keyed by both.  With log, the path of a trial log,
+    every point is logged as one trial, however many folds there are: the grid is what was tried.
+    """
+    out = _scores(_blocks(panel, factory, points, train, test, step, warmup, cost_bps, lag))
+    if log:
+        config = {"train": train, "test": test, "step": step or test, "cost_bps": cost_bps, "lag": lag, "warmup": warmup, "n_grid_points": len(points)}
+        rows = out.groupBy("point").agg(F.avg("test_sharpe").alias("sharpe"), F.count(F.lit(1)).alias("folds"), F.max(F.when(F.col("fold") == 0, F.col("selected"))).alias("selected")).collect()
+        of = {r.point: r for r in rows}
+        trials = []
+        for i, p in enumerate(points):
+            r = of.get(i)
+            sharpe = r.sharpe if r else None
+            found = {"sharpe_per_period": None if sharpe is None else sharpe / math.sqrt(252.0), "sharpe_ann": sharpe, "n_periods": test * (r.folds if r else 0)}
+            trials.append((config | {"params": p, "selected": bool(r and r.selected), "n_folds": r.folds if r else 0}, found))
+        log_trials(panel.sparkSession, log, "walk_forward_grid_point", trials, at)
+    return out
+
+
+def walk_forward_book(panel: DataFrame, factory, points: list[dict[str, Any]], train: int = 504, test: int = 126, step: int | None = None, warmup: int = 0, cost_bps: float = 2.0, lag: int = 1) -> DataFrame:
+    """The stitched out-of-sample book: fold, point, ts, bar_idx and net of the selected point's test bars, fold after fold."""
+    book = _blocks(panel, factory, points, train, test, step, warmup, cost_bps, lag)
+    chosen = _scores(book).where("selected").select("fold", "point")
+    return book.where("kind = 'test'").join(chosen, ["fold", "point"]).select("fold", "point", "ts", "bar_idx", "net")
+
+
 def parameter_stability(folds_: DataFrame, grid_size: int) -> DataFrame:
     """Entropy of the selected points (0: always the same, 1: uniform over the grid), the modal share and a verdict."""
     chosen = folds_.where("selected").groupBy("point").count()
@@ -101,8 +126,13 @@ def jsonable(x: Any) -> Any:
 
 def log_trial(spark: SparkSession, path: str, kind: str, config: dict, results: dict, at: str) -> None:
     """Append one line (timestamp, kind, config, metrics) to the trial log, a folder of JSON lines."""
-    line = json.dumps({"timestamp": at, "kind": kind, "config": jsonable(config), "metrics": jsonable(results)}, sort_keys=True)
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(path)
+    log_trials(spark, path, kind, [(config, results)], at)
+
+
+def log_trials(spark: SparkSession, path: str, kind: str, trials: list[tuple[dict, dict]], at: str) -> None:
+    """One line for each pair of config and metrics, in one append."""
+    lines = [(json.dumps({"timestamp": at, "kind": kind, "config": jsonable(c), "metrics": jsonable(m)}, sort_keys=True),) for c, m in trials]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(path)
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:

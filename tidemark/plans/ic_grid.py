@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import validate
 from tidemark.operators.inference import adjust_p_values, compute_ic, demean
 from tidemark.operators.metrics import normal_two_sided
 from tidemark.operators.signals import SIGNALS
@@ -17,16 +18,18 @@ from tidemark.sources import registry
 OVERNIGHT = "the horizon leaves the session"
 
 
-def run_grid(spark: SparkSession, panel: DataFrame, document: dict, session_length: int | None = 390, entry_lag: int = 1, residualise: bool = True, fft: bool | None = None) -> DataFrame:
+def run_grid(spark: SparkSession, panel: DataFrame, document: dict, session_length: int | None = 390, entry_lag: int = 1, residualise: bool = True, fft: bool | None = None, log: str | None = None, at: str = "") -> DataFrame:
     """One row for each hypothesis and horizon: the IC, the raw one, the one without entry lag, and adjusted p-values.
 
     panel: symbol, ts, bar_idx, px and, if horizons shall stay within it, session.
+    With log, the path of a trial log, every test is logged as one trial.
     """
     keys = ("hypothesis_id", "signal_name", "variant")
     by_horizon: dict[int, list[DataFrame]] = {}
-    notes = []
+    notes, signals = [], []
     for e in document["hypotheses"]:
         signal = SIGNALS[e["signal"]](**e["params"])(panel).persist()
+        signals.append(signal)
         for h in e["horizons_bars"]:
             registry.require(document, e["signal"], h, e["params"])
             within = session_length is not None and h + entry_lag <= session_length - 1 and "session" in panel.columns
@@ -44,8 +47,17 @@ def run_grid(spark: SparkSession, panel: DataFrame, document: dict, session_leng
     note = spark.createDataFrame(notes, "hypothesis_id string, horizon int, note string")
     results = of("main").join(raw, on).join(zero, on).join(note, ["hypothesis_id", "horizon"]).withColumnRenamed("signal_name", "signal")
     # a row for each registered test; the normal tail is taken on the driver
-    rows = [(*r, None if r.t_hac is None else normal_two_sided(r.t_hac)) for r in results.collect()]
+    got = results.collect()
+    rows = [(*r, None if r.t_hac is None else normal_two_sided(r.t_hac)) for r in got]
     schema = T.StructType([*results.schema.fields, T.StructField("p_value", T.DoubleType())])
+    for held in (every, *signals):
+        held.unpersist()
+    if log:
+        params = {e["id"]: e["params"] for e in document["hypotheses"]}
+        found = [r.asDict() | {"p_value": row[-1]} for r, row in zip(got, rows)]
+        # an information coefficient has no Sharpe ratio
+        trials = [({"hypothesis_id": r["hypothesis_id"], "signal": r["signal"], "params": params[r["hypothesis_id"]], "horizon_bars": r["horizon"], "residualised": residualise}, {k: r.get(k) for k in ("ic", "t_hac", "p_value", "n_effective", "n")} | {"sharpe_per_period": None}) for r in found]
+        validate.log_trials(spark, log, "ic", trials, at)
     return adjust_p_values(spark.createDataFrame(rows, schema))
 
 

@@ -364,6 +364,27 @@ def summary_metrics(spark, sf):
     return rounded(head, 5).join(rounded(s.select("calmar"), 3))
 
 
+WIPED = "small AS (SELECT * REPLACE (CASE WHEN bar_idx % 97 = 5 THEN CAST('nan' AS DOUBLE) WHEN bar_idx = 60 THEN CAST('inf' AS DOUBLE) WHEN bar_idx = 900 THEN -1.0 ELSE net / 1000 END AS net) FROM book), clean AS (SELECT ts, bar_idx, CASE WHEN isfinite(net) THEN net END AS net FROM small), eq AS (SELECT *, product(1 + coalesce(net, 0)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM clean), dd AS (SELECT *, equity / max(equity) OVER (ORDER BY ts) - 1 AS drawdown FROM eq)"
+
+
+def wiped(spark, sf) -> DataFrame:
+    """The scaled book with undefined returns and a bar that loses everything."""
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    net = F.when(F.col("bar_idx") % 97 == 5, nan).when(F.col("bar_idx") == 60, inf).when(F.col("bar_idx") == 900, -1.0).otherwise(F.col("net"))
+    return scaled(spark, sf).withColumn("net", net)
+
+
+@query("equity_total_loss", f"{BOOK}, {WIPED} SELECT bar_idx, {r('equity', 'equity')}, {r('drawdown', 'drawdown')} FROM dd")
+def equity_total_loss(spark, sf):
+    return rounded(metrics.equity(wiped(spark, sf)).select("bar_idx", "equity", "drawdown"))
+
+
+@query("summary_total_loss", f"{BOOK}, {WIPED} SELECT count(*) AS n_periods, count(net) AS n_returns, {r('min(drawdown)', 'max_drawdown')}, {r('arg_max(equity, ts) - 1', 'total_return')}, CAST('-inf' AS DOUBLE) AS calmar, {r('avg(net) / stddev_samp(net) * sqrt(252.0)', 'sharpe')}, {r('count(*) FILTER (WHERE net > 0) / count(*) FILTER (WHERE net <> 0)', 'hit_rate')} FROM dd")
+def summary_total_loss(spark, sf):
+    s = metrics.summary(wiped(spark, sf))
+    return rounded(s.drop("calmar").select("n_periods", "n_returns", "max_drawdown", "total_return", "sharpe", "hit_rate")).join(s.select("calmar"))
+
+
 @query("turnover_annual", f"{BOOK}, t AS (SELECT bar_idx, sum(abs(d)) AS d FROM (SELECT bar_idx, signal - lag(signal) OVER (PARTITION BY symbol ORDER BY bar_idx) AS d FROM sg) GROUP BY 1) SELECT {r('avg(d) * 252', 'turnover', 4)} FROM t WHERE bar_idx > 0")
 def turnover_annual(spark, sf):
     return rounded(metrics.turnover(signalled(spark, sf), column="signal"), 4)
@@ -665,6 +686,12 @@ def parameter_stability(spark, sf):
     return rounded(validate.parameter_stability(walked(spark, sf), len(GRID)))
 
 
+@query("walk_forward_book", WF + f" SELECT bk.fold::INTEGER AS fold, bk.point, bar_idx, {r('net', 'net')} FROM bk JOIN wf ON bk.fold = wf.fold AND bk.point = wf.point WHERE selected AND kind = 'test'")
+def walk_forward_book(spark, sf):
+    book = validate.walk_forward_book(daily(spark, sf), SIGNALS["zscore_reversion"], validate.grid(window=list(GRID)), 504, 126, None, 40)
+    return rounded(book.select("fold", "point", "bar_idx", "net"))
+
+
 # --- without a twin ---------------------------------------------------------
 
 
@@ -720,9 +747,12 @@ def ic_grid(spark, sf):
 
 @query("streaming_bars", ORACLE_SQL["bars_ohlcv"])
 def streaming_bars(spark, sf):
-    from tidemark.streaming.bars import windowed_bars
+    """The bars of a stream over the events' files, as its last batch leaves them."""
+    from tidemark.streaming.bars import bars_of_stream, windowed_bars
 
-    return rounded(windowed_bars(spark.read.parquet(f"{sf}/events.parquet")))
+    path = f"{sf}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return rounded(bars_of_stream(windowed_bars(events.withColumn("ts", F.col("ts").cast("timestamp")))))
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:

@@ -111,7 +111,11 @@ def garch_t(spark: SparkSession, n_steps: int = 1000, n_assets: int = 1, seeds:
 
 def regime_switching(spark: SparkSession, n_steps: int = 1000, n_assets: int = 1, seeds: list[int] = [0], p_stay_trend: float = 0.97, p_stay_chop: float = 0.97, drift: float = 0.6, half_life: float = 5.0, sigma: float = 0.2, correlation: float = 0.0, s0: float = 100.0, dt: float = DAY, start: str = "2015-01-01", with_states: bool = False) -> DataFrame:  # noqa: B006
     """A market that trends or chops: each trend draws a direction for each asset, each chop reverts to where it began."""
+    if not (0 <= p_stay_trend <= 1 and 0 <= p_stay_chop <= 1):
+        raise ValueError("p_stay_trend and p_stay_chop are probabilities")
     pull = 1 - math.exp(-math.log(2) / half_life)
+    leave = (1 - p_stay_trend) + (1 - p_stay_chop)
+    stationary = (1 - p_stay_chop) / leave if leave > 0 else 0.5  # the chain's long-run share of trends
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         z = pdf.pivot(index="bar_idx", columns="asset", values="z").sort_index()
@@ -119,7 +123,7 @@ def regime_switching(spark: SparkSession, n_steps: int = 1000, n_assets: int = 1
         rng = np.random.default_rng(int(pdf["seed"].iloc[0]) & 0xFFFFFFFF)
         # a fixed number of draws for each bar keeps the beginning of longer panels
         draws = [rng.random(m + 1) for _ in range(n)]
-        trend, x, anchor = draws[0][0] < 0.5, np.zeros(m), np.zeros(m)
+        trend, x, anchor = draws[0][0] < stationary, np.zeros(m), np.zeros(m)
         sign = np.where(draws[0][1:] < 0.5, 1.0, -1.0)
         lp, states = np.zeros((n, m)), ["trend" if trend else "chop"]
         for i in range(1, n):

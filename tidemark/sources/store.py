@@ -24,6 +24,11 @@ CORE = T.StructType(
 )
 
 
+def dated(bars: DataFrame, ts: str) -> DataFrame:
+    """bars with the date of their session, by which the store is partitioned."""
+    return bars.withColumn("date", F.date_format(session_id(F.col(ts)), "yyyy-MM-dd"))
+
+
 class BarStore:
     """Bars at a path that Spark can write; every write adds files and never replaces any."""
 
@@ -35,10 +40,9 @@ class BarStore:
             raise ValueError(f"bars lack {sorted(missing)}")
         own = bars.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in CORE})
         if "signals" in own.columns:  # a map of signals becomes columns
-            names = sorted(r[0] for r in own.select(F.explode(F.map_keys("signals"))).distinct().limit(1000).collect())
+            names = sorted(r[0] for r in own.select(F.explode(F.map_keys("signals"))).distinct().collect())
             own = own.withColumns({f"signal_{n}": F.try_element_at("signals", F.lit(n)) for n in names}).drop("signals")
-        dated = own.withColumn("date", F.date_format(session_id(F.col("timestamp")), "yyyy-MM-dd"))
-        dated.repartition("date", "symbol").write.mode("append").partitionBy("date", "symbol").parquet(self.path)
+        dated(own, "timestamp").repartition("date", "symbol").write.mode("append").partitionBy("date", "symbol").parquet(self.path)
 
     def load(self, start: str | None = None, end: str | None = None, symbols: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
         """Bars of the dates (inclusive) and symbols: partitions are pruned, columns are pushed to the scan."""
@@ -55,7 +59,7 @@ class BarStore:
         return store_summary(self.load())
 
     def forward_returns(self, horizon: int, embargo: int | None = None, field: str = "close", entry_lag: int = 1, within_session: bool = True, **which) -> DataFrame:
-        cells = self.load(columns=["timestamp", "symbol", field], **which).groupBy(F.col("timestamp").alias("ts"), "symbol").agg(F.last(field).alias("px"))
+        cells = self.load(columns=["timestamp", "symbol", field], **which).groupBy(F.col("timestamp").alias("ts"), "symbol").agg(F.max(field).alias("px"))  # of bars that were stored twice, the greatest value
         panel = densify(cells).withColumn("session", session_id(F.col("ts")))
         return purged_forward_returns(panel, horizon, embargo, entry_lag, "session" if within_session else None)
 
@@ -66,7 +70,8 @@ def store_summary(bars: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 def session_filled_panel(bars: DataFrame, field: str = "close", ts: str = "ts") -> DataFrame:
     """The dense panel of a field, forward filled inside sessions only."""
-    panel = densify(bars.select(ts, "symbol", F.col(field).alias("px"))).withColumn("session", session_id(F.col(ts)))
+    cells = bars.groupBy(ts, "symbol").agg(F.max(field).alias("px"))  # bars may repeat; the panel has one cell for each
+    panel = densify(cells).withColumn("session", session_id(F.col(ts)))
     return forward_fill(panel, "px", "session")
 
 

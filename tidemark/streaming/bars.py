@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.allocator import DEAD_BAND
+from tidemark.sources.store import dated
 
 
 def windowed_bars(events: DataFrame, width: str = "1 hour", late: str = "2 hours", ts: str = "ts", symbol: str = "event_type", value: str = "value", seq: str = "event_id") -> DataFrame:
@@ -25,10 +28,33 @@ def windowed_bars(events: DataFrame, width: str = "1 hour", late: str = "2 hours
     return out.select(F.col("w.start").alias("ts"), "symbol", "open", "high", "low", "close", "volume")
 
 
+def shared_folder(spark) -> str:
+    """A new folder below spark.checkpoint.dir; only where that is unset, for a local master, one of this machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-stream-")
+    return f"{folder}/stream-{uuid.uuid4().hex}"
+
+
+def bars_of_stream(bars: DataFrame) -> DataFrame:
+    """Run a stream of bars over all input there is and return its table, late events included."""
+    spark = bars.sparkSession
+    folder = shared_folder(spark)
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+
+    running = bars.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{folder}/log").foreachBatch(replace).start()
+    running.awaitTermination()
+    done = running.lastProgress
+    return spark.read.schema(bars.schema).parquet(f"{folder}/{done['batchId']}" if done else f"{folder}/[0-9]*")
+
+
 def append_to_store(bars: DataFrame, store_path: str, checkpoint: str):
-    """Write a stream of bars to the store, partitioned by date and symbol, exactly once."""
-    dated = bars.withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
-    return dated.writeStream.format("parquet").partitionBy("date", "symbol").option("path", store_path).option("checkpointLocation", checkpoint).outputMode("append").start()
+    """Write a stream of bars to the store, partitioned by session date and symbol as the store itself does, exactly once."""
+    return dated(bars, "ts").writeStream.format("parquet").partitionBy("date", "symbol").option("path", store_path).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
 def budget_stream(targets: DataFrame, budget: int, cost_bps: float, edge_bps: float = 5.0, dead_band: float = DEAD_BAND) -> DataFrame:
