@@ -264,10 +264,75 @@ def test_toxicity_drops_no_tokens(spark, monkeypatch):
 def test_lm_trains_on_every_place_once(spark, rounds):
     docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(i))) for i in range(60)], "doc_id long, text string").repartition(3)
     net = lm.Network([b"w0", b"w1"])
-    seen = [sum(r.n for r in lm._train_round(docs, net, k, rounds).collect()) for k in range(rounds)]
+    dealt = lm.dealt(docs, net, 4)
+    seen = [sum(r.n for r in lm._train_round(dealt, net, k, rounds).collect()) for k in range(rounds)]
     assert sum(seen) == sum(range(60)) and min(seen) > 0
 
 
+def small_network():
+    net = lm.Network([b"aa", b"bb", b"cc"], 2)
+    for w in net.weights():
+        w[...] = np.random.default_rng(w.size).normal(0, 0.4, w.shape)
+    return net
+
+
+def plain_log_probs(net, words):
+    """ln P(class | 2 K neighbours) of every word, with loops over single numbers."""
+    ids = [int(net.ids(np.array([lm.hash_word(w)], np.uint64))[0]) for w in words]
+    out = []
+    for i, own in enumerate(ids):
+        x = [float(v) for d in range(-lm.K, lm.K + 1) if d for v in net.emb[ids[i + d] if 0 <= i + d < len(ids) else net.size]]
+        h = [np.tanh(sum(a * float(b) for a, b in zip(x, net.w1[:, k])) + float(net.b1[k])) for k in range(lm.HIDDEN)]
+        z = [sum(a * float(b) for a, b in zip(h, net.w2[:, c])) + float(net.b2[c]) for c in range(net.size)]
+        out.append(z[own] - np.log(sum(np.exp(v) for v in z)))
+    return out
+
+
+def test_lm_scores_against_plain_loops():
+    """Class probabilities from both sides, and the words' shares in their classes, summed by document."""
+    net = small_network()
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff"]) for _ in range(n)) for n in (0, 1, 5, 30)] + [None]
+    n, lp, row, h, k, unseen = net.score(pa.array(texts, pa.string()))
+    assert n.tolist() == [0, 1, 5, 30, 0]
+    for t, got in zip(texts, lp):
+        assert abs(got - sum(plain_log_probs(net, [w.encode() for w in (t or "").split()]))) < 1e-3
+    want = sorted((i, lm.hash_word(w.encode()), (t or "").split().count(w)) for i, t in enumerate(texts) for w in {x for x in (t or "").split()} if w in ("dd", "ee", "ff"))
+    assert sorted(zip(row.tolist(), h.tolist(), k.tolist())) == want
+
+
+def test_lm_gradients_against_differences():
+    net = small_network()
+    rng = np.random.default_rng(3)
+    context, target = rng.integers(0, net.size + 1, (7, 2 * lm.K)), rng.integers(0, net.size, 7)
+    loss = lambda: -float(np.mean(net.log_probs(context, target)))
+    for w in net.weights():
+        w[...] = w  # float32 steps
+    for w, g in zip(net.weights(), net.gradients(context, target)):
+        flat, slope = w.reshape(-1), g.reshape(-1)
+        for k in rng.choice(w.size, min(w.size, 12), replace=False):
+            held = flat[k]
+            flat[k] = held + 2e-2
+            up = loss()
+            flat[k] = held - 2e-2
+            down = loss()
+            flat[k] = held
+            assert abs((up - down) / 4e-2 - slope[k]) < 2e-3
+
+
+def test_lm_does_not_depend_on_the_layout(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 900}" for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(5, "w1 w2")] * 3, "doc_id long, text string")
+    found = []
+    for parts in (1, 7):
+        laid = docs.repartition(parts)
+        net = lm.train(laid, vocabulary=30, buckets=5, head=100, shard=1500)
+        found.append((net.flat(), sorted((r.doc_id, r.n_words, r.log_prob) for r in lm.score_documents(laid, net).collect())))
+    assert found[0][0] == found[1][0]
+    # documents scored together share matrix products, which round differently
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 for a, b in zip(found[0][1], found[1][1]))
+
+
 def test_every_language_is_learned(spark):
     """Many languages of few texts each: all have landmarks, weights and predictions."""
     pick = langid.pick_landmarks([f"l{i % 4}" for i in range(40)], 2)

@@ -11,11 +11,16 @@ of all words, discounted by DISCOUNT, and what the discount frees goes to a
 spelling model (byte pairs of the distinct words), so that unseen words have a
 probability of their own too.  The shares of a bucket's words sum to 1 at most.
 Word counts cover all documents and are summed in Spark; about HEAD frequent
-words are broadcast, all others reach the texts by a join.  The network is trained on all documents too: in every
-round each task starts from the same weights, walks through its own documents
-once, masks its round's share of the places (picked by a hash of place and the
-task's stream; the rounds' shares together are all places), and sends its weights with the number of places it has seen;
-the weighted mean, formed in a tree of tasks, begins the next round.
+words are broadcast, all others reach the texts by a join.
+
+The network is trained on all documents too, on every place once.  Texts, as
+rows of class numbers, are dealt to shards of about SHARD words by a hash of
+doc_id and text, and lie in the order of that hash.  In every round each
+shard starts from the same weights, walks through its rows, masks its round's
+share of the places (picked by a hash of shard and place; the rounds' shares
+together are all places), and gives its weights with the number of places it has
+seen; the weighted mean, formed in a tree of tasks in the order of the shards,
+begins the next round.  So the model depends on the rows only, not on files or partitions.
 
 Cases: null and empty texts have 0 words, log_prob 0 and a null mean; an empty
 table gives an empty result; a corpus without words leaves the network as
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, merge_dealt
+from .common import cut, merge_dealt, scratch
 from .textbatch import LOWER, WORD_HASH, WORD_TABLE, column_bytes, hash_word, mix, rows_of, slices, word_hashes, word_spans
 
 VOCABULARY = 192
@@ -46,6 +51,8 @@ DIM, HIDDEN = 12, 32
 ROUNDS, RATE, STEP = 2, 0.5, 512
 #: Places scored by one matrix product.
 PLACES = 8192
+#: Words of a shard, and of the part of it whose places are shuffled together, about.
+SHARD, CHUNK = 1 << 21, 1 << 17
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -159,11 +166,17 @@ class Network:
             out[known] = self.order[at[known]]
         return out
 
-    def contexts(self, ids: np.ndarray, off: np.ndarray, places: np.ndarray, row: np.ndarray) -> np.ndarray:
+    def padded(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows with K numbers of the outside between them, and the place of each word there."""
+        at = np.arange(len(ids)) + K * (rows_of(off) + 1)
+        out = np.full(len(ids) + K * len(off), self.size, np.int32)
+        out[at] = ids
+        return out, at
+
+    @staticmethod
+    def contexts(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """For each place the 2 K words around it; places outside its row have the last number."""
-        around = places[:, None] + np.array([d for d in range(-K, K + 1) if d])
-        inside = (around >= off[row][:, None]) & (around < off[row + 1][:, None])
-        return np.where(inside, ids[np.clip(around, 0, len(ids) - 1)], self.size)
+        return padded[at[:, None] + np.array([d for d in range(-K, K + 1) if d])]
 
     def _forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = self.emb[context].reshape(len(context), -1)
@@ -177,19 +190,24 @@ class Network:
         np.exp(logits, out=logits)
         return own - np.log(logits.sum(axis=1, dtype=np.float64))
 
-    def step(self, context: np.ndarray, target: np.ndarray, state: list[np.ndarray]) -> None:
-        """One Adagrad step on the mean loss of the places."""
+    def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the mean loss of the places, by each of the weights."""
         n = len(target)
-        x, h, logits = self._forward(context)
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
+        x, h, p = self._forward(context)
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(n), target] -= 1
         p /= n
         back = (p @ self.w2.T) * (1 - h * h)
-        demb = np.zeros_like(self.emb)
-        np.add.at(demb, context.reshape(-1), (back @ self.w1.T).reshape(-1, DIM))
-        for w, g, s in zip(self.weights(), (demb, x.T @ back, back.sum(0), h.T @ p, p.sum(0)), state):
+        by_word = back @ self.w1.T
+        at = (context.astype(np.int64)[:, :, None] * DIM + np.arange(DIM)).reshape(-1)
+        demb = np.bincount(at, by_word.reshape(-1), self.emb.size).reshape(self.emb.shape).astype(np.float32)
+        return demb, x.T @ back, back.sum(0), h.T @ p, p.sum(0)
+
+    def step(self, context: np.ndarray, target: np.ndarray, state: list[np.ndarray]) -> None:
+        """One Adagrad step on the mean loss of the places."""
+        for w, g, s in zip(self.weights(), self.gradients(context, target), state):
             s += g * g
             w -= (RATE * 0.1) * g / (np.sqrt(s) + 1e-6)
 
@@ -201,10 +219,10 @@ class Network:
         hashes = mix(WORD_HASH.spans(WORD_HASH.prefix(lower), starts, ends))
         ids, row = self.ids(hashes), rows_of(off)
         out = np.zeros(len(off) - 1)
+        padded, at = self.padded(ids, off)
         for a in range(0, len(ids), PLACES):
-            places = np.arange(a, min(a + PLACES, len(ids)))
-            lp = self.log_probs(self.contexts(ids, off, places, row[places]), ids[places])
-            out += np.bincount(row[places], lp, len(out))
+            own = slice(a, a + PLACES)
+            out += np.bincount(row[own], self.log_probs(self.contexts(padded, at[own]), ids[own]), len(out))
         other = np.flatnonzero(ids >= self.words)
         unseen = self.rare.spelled(lower, starts[other], ends[other]) + self.rare.freed[ids[other] - self.words]
         share = self.rare.head(hashes[other])
@@ -219,47 +237,97 @@ class Network:
         return np.diff(off), out, r[first], h[first], np.diff(np.append(first, len(order))), unseen[order[first]]
 
 
-def _train_round(docs: DataFrame, network: Network, number: int, rounds: int) -> DataFrame:
+def dealt(docs: DataFrame, network: Network, shards: int) -> DataFrame:
+    """shard, key and ids (class numbers, 16 bits each) of every text with words, a shard's rows together and in order."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
-        from copy import deepcopy
-
-        net = deepcopy(shared.value)
-        state = [np.full_like(w, 1e-8) for w in net.weights()]
-        seen, at = 0, 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        net = shared.value
         for batch in batches:
             for part in slices(batch):
                 hashes, off = word_hashes(part.column("text"))
-                ids = net.ids(hashes)
-                draw = mix(np.arange(at, at + len(ids), dtype=np.uint64) * np.uint64(2654435761) + hashes + np.uint64(1))
-                at += len(ids)
+                data, at = net.ids(hashes).astype("<u2").tobytes(), (2 * off).tolist()
+                some = np.flatnonzero(np.diff(off))
+                ids = pa.array([data[at[k] : at[k + 1]] for k in some.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("shard").take(pa.array(some)), part.column("key").take(pa.array(some)), ids], names=["shard", "key", "ids"])
+
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    rows = docs.select("text", F.pmod(key, F.lit(shards)).alias("shard"), key.alias("key")).mapInArrow(run, "shard long, key long, ids binary")
+    # more partitions than shards, so that few of them hold several
+    return rows.repartition(min(4 * shards, 20_000), "shard").sortWithinPartitions("shard", "key", "ids")
+
+
+def _train_round(rows: DataFrame, network: Network, number: int, rounds: int) -> DataFrame:
+    """shard, weights and n (places seen) of each shard of dealt rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        from copy import deepcopy
+
+        class Shard:
+            def __init__(self, name: int):
+                self.name, self.net, self.at, self.seen, self.held, self.size = name, deepcopy(shared.value), 0, 0, [], 0
+                self.state = [np.full_like(w, 1e-8) for w in self.net.weights()]
+
+            def add(self, ids: bytes) -> None:
+                self.held.append(ids)
+                self.size += len(ids) // 2
+                if self.size >= CHUNK:
+                    self.learn()
+
+            def learn(self) -> None:
+                off = np.concatenate([[0], np.cumsum([len(x) // 2 for x in self.held])])
+                ids = np.frombuffer(b"".join(self.held), "<u2").astype(np.int64)
+                self.held, self.size = [], 0
+                draw = mix(mix(np.arange(self.at, self.at + len(ids), dtype=np.uint64) + np.uint64(self.name << 40)) + np.uint64(1))
+                self.at += len(ids)
                 places = np.flatnonzero((draw >= np.uint64((number << 64) // rounds)) & (draw <= np.uint64((number + 1 << 64) // rounds - 1)))
                 places = places[np.argsort(draw[places])]  # neighbours in a step come from different texts
-                context = net.contexts(ids, off, places, np.searchsorted(off, places, side="right") - 1)
+                padded, at = self.net.padded(ids, off)
                 for a in range(0, len(places), STEP):
-                    net.step(context[a : a + STEP], ids[places[a : a + STEP]], state)
-                seen += len(places)
-        yield _weights_row(net.flat(), seen)
+                    own = places[a : a + STEP]
+                    self.net.step(self.net.contexts(padded, at[own]), ids[own], self.state)
+                self.seen += len(places)
+
+            def row(self) -> pa.RecordBatch:
+                if self.held:
+                    self.learn()
+                return _weights_row(self.name, self.net.flat(), self.seen)
+
+        shard = None
+        for batch in batches:
+            for name, ids in zip(batch.column("shard").to_pylist(), batch.column("ids")):
+                if shard is None or shard.name != name:
+                    if shard is not None:
+                        yield shard.row()
+                    shard = Shard(name)
+                shard.add(ids.as_py())
+        if shard is not None:
+            yield shard.row()
+
+    return rows.mapInArrow(run, "shard long, weights binary, n long")
+
 
-    return docs.select("text").mapInArrow(run, "weights binary, n long")
+def _weights_row(shard: int, flat: bytes, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([flat], pa.binary()), pa.array([n], pa.int64())], names=["shard", "weights", "n"])
 
 
-def _weights_row(flat: bytes, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([flat], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
+#: Networks that a task of the tree adds up.
+FAN = 16
 
 
-def _mean(batches):
-    """One row with the weighted mean of the rows of a task."""
-    total, n = None, 0
+def _means(batches):
+    """The weighted mean of each FAN shards, in their order; their number is that of the group."""
+    at, total, n = None, None, 0
     for batch in batches:
-        for flat, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if k:
-                x = np.frombuffer(flat, "<f8") * k
-                total, n = (x if total is None else total + x), n + k
+        for shard, flat, k in zip(*(batch.column(c).to_pylist() for c in ("shard", "weights", "n"))):
+            if shard // FAN != at:
+                if n:
+                    yield _weights_row(at, (total / n).tobytes(), n)
+                at, total, n = shard // FAN, 0.0, 0
+            total, n = total + np.frombuffer(flat, "<f8") * k, n + k
     if n:
-        yield _weights_row((total / n).tobytes(), n)
+        yield _weights_row(at, (total / n).tobytes(), n)
 
 
 def _learn_rare(counts: DataFrame, network: Network, head: int) -> None:
@@ -310,21 +378,28 @@ def _learn_rare(counts: DataFrame, network: Network, head: int) -> None:
     network.rare, network.tail = rare, shares.select("h", "share")
 
 
-def train(docs: DataFrame, vocabulary: int = VOCABULARY, buckets: int = BUCKETS, rounds: int = ROUNDS, head: int = HEAD) -> Network:
+def train(docs: DataFrame, vocabulary: int = VOCABULARY, buckets: int = BUCKETS, rounds: int = ROUNDS, head: int = HEAD, shard: int = SHARD) -> Network:
     """The network after `rounds` passes over all documents."""
     counts = cut(word_counts(docs))
     top = counts.orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()
     network = Network([bytes(r.word) for r in top], buckets)
     _learn_rare(counts, network, head)
-    for k in range(rounds):
-        sent = _train_round(docs, network, k, rounds)
-        tasks = sent.rdd.getNumPartitions()
-        while tasks > 16:  # a tree: no task gets more than about 16 networks
-            tasks = (tasks + 15) // 16
-            sent = sent.repartition(tasks).mapInArrow(_mean, "weights binary, n long")
-        rows = sent.repartition(1).mapInArrow(_mean, "weights binary, n long").collect()
-        if rows:
-            network.load(np.frombuffer(bytes(rows[0].weights), "<f8"))
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    shards = -(-words // shard)
+    if not shards:
+        return network
+    with scratch(docs.sparkSession) as put:
+        rows = put(dealt(docs, network, shards))
+        for k in range(rounds):
+            sent, left = _train_round(rows, network, k, rounds), shards
+            while True:  # a tree: no task gets more than FAN networks
+                left = (left + FAN - 1) // FAN
+                group = F.floor(F.col("shard") / FAN)
+                sent = sent.repartition(min(left, 20_000), group).sortWithinPartitions("shard").mapInArrow(_means, "shard long, weights binary, n long")
+                if left == 1:
+                    break
+            for r in sent.collect():
+                network.load(np.frombuffer(bytes(r.weights), "<f8"))
     return network
 
 
