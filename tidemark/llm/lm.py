@@ -50,7 +50,7 @@ K = 3
 DIM, HIDDEN = 12, 32
 ROUNDS, RATE, STEP = 2, 0.5, 512
 #: Places scored by one matrix product.
-PLACES = 8192
+PLACES = 2048
 #: Words of a shard, and of the part of it whose places are shuffled together, about.
 SHARD, CHUNK = 1 << 21, 1 << 17
 
@@ -106,6 +106,8 @@ class Rare:
         self.freed = np.where(seen, np.log(np.where(seen, DISCOUNT * self.distinct, 1) / np.maximum(self.total, 1)), 0.0)
         n = self.pairs.reshape(257, 257) + 0.01
         self.spell = np.log(n / n.sum(axis=1, keepdims=True))
+        # the first of the sorted hashes with each value of the 20 first bits
+        self.first = np.searchsorted(self.hashes >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
 
     def spelled(self, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log-probability of each word's spelling."""
@@ -117,10 +119,19 @@ class Rare:
 
     def head(self, hashes: np.ndarray) -> np.ndarray:
         """The discounted share of each word, 0 if it isn't broadcast."""
+        out = np.zeros(len(hashes))
         if not len(self.hashes):
-            return np.zeros(len(hashes))
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.shares[at], 0.0)
+            return out
+        slot = (hashes >> np.uint64(44)).astype(np.int32)
+        at, end = self.first[slot], self.first[slot + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):  # one look for each word of the slot, few on average
+            k = at[left]
+            same = self.hashes[k] == hashes[left]
+            out[left[same]] = self.shares[k[same]]
+            at[left] = k + 1
+            left = left[~same & (k + 1 < end[left])]
+        return out
 
 
 class Network:
@@ -183,22 +194,29 @@ class Network:
         h = np.tanh(x @ self.w1 + self.b1)
         return x, h, h @ self.w2 + self.b2
 
+    @staticmethod
+    def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """In place: exp(logits - shift), its sums by row, and the shift, 0 unless numbers would be too large or small."""
+        shift = np.zeros((len(logits), 1), np.float32)
+        if logits.size and (logits.max() > 40 or logits.min() < -40):
+            shift = logits.max(axis=1, keepdims=True)
+            logits -= shift
+        np.exp(logits, out=logits)
+        return logits, logits @ np.ones(logits.shape[1], np.float32), shift[:, 0]
+
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         logits = self._forward(context)[2]
-        logits -= logits.max(axis=1, keepdims=True)
         own = logits[np.arange(len(target)), target].astype(np.float64)
-        np.exp(logits, out=logits)
-        return own - np.log(logits.sum(axis=1, dtype=np.float64))
+        _, total, shift = self._exponentials(logits)
+        return own - shift - np.log(total.astype(np.float64))
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of the mean loss of the places, by each of the weights."""
         n = len(target)
         x, h, p = self._forward(context)
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        p /= n
+        _, total, _ = self._exponentials(p)
+        p *= (1 / (n * total))[:, None]
+        p[np.arange(n), target] -= np.float32(1 / n)
         back = (p @ self.w2.T) * (1 - h * h)
         by_word = back @ self.w1.T
         at = (context.astype(np.int64)[:, :, None] * DIM + np.arange(DIM)).reshape(-1)
