@@ -395,3 +395,37 @@ def test_language_sample_is_bounded(spark):
         assert n == min(50, len(set(rows)))
         model = langid.train(docs, 50)
         assert {r.lang_pred for r in langid.predict(docs.limit(20), model).collect()} == {"x"}
+
+
+def test_toxicity_scores_against_plain_counts(spark):
+    """Token counts by text, log-odds with the prior, the significant tokens and the parameters of the extreme-value law."""
+    rng = random.Random(11)
+    bad, good = ["idiotic", "scum", "vermin"], ["garden", "kind", "music", "paper", "sunday", "reading"]
+    rows = [(i, " ".join([*rng.choices(good, k=rng.randint(2, 9)), *(rng.choices(bad, k=2) if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    counts = {}
+    for _, t, y in rows:
+        words = set(plain_words(t))
+        for token in {(w, True) for w in words} | {(w[:n], False) for w in words for n in toxicity.PREFIXES if len(w) > n}:
+            counts.setdefault(token, [0, 0])[y] += 1
+    n0, n1 = (sum(c[y] for (_, whole), c in counts.items() if whole) for y in (0, 1))
+    want = {}
+    for (w, whole), (y0, y1) in counts.items():
+        prior, total = toxicity.PRIOR * (y0 + y1), n0 + n1
+        odds = lambda y, n: np.log((y + prior) / (n + toxicity.PRIOR * total - y - prior))  # noqa: B023, E731
+        delta = odds(y1, n1) - odds(y0, n0)
+        if y0 + y1 > 1 and abs(delta / np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))) >= toxicity.Z:
+            h = textbatch.hash_word(w.encode()) if whole else None
+            want[(w, whole)] = (h, max(-toxicity.CAP, min(toxicity.CAP, delta)))
+    assert len(model.hashes) == len(want) > 3
+    of = dict(zip(model.hashes.tolist(), model.scores.tolist()))
+    assert all(abs(of[h] - s) < 1e-9 for h, s in want.values() if h is not None)
+    assert sorted(round(s, 6) for s in of.values()) == sorted(round(s, 6) for _, s in want.values())
+    # lambda solves the expectation of exp(lambda S) = 1 over the words of clean text
+    shares = {}
+    for (w, whole), (_, s) in want.items():
+        if whole:
+            shares[round(s - toxicity.DRIFT, 3)] = shares.get(round(s - toxicity.DRIFT, 3), 0) + (counts[w, True][0] + 0.5) / n0
+    rest = max(1 - sum(shares.values()), 1e-9)
+    assert abs(rest * np.exp(-model.lam * toxicity.DRIFT) + sum(p * np.exp(model.lam * s) for s, p in shares.items()) - 1) < 1e-6

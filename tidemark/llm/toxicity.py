@@ -14,11 +14,16 @@ segments.  Under clean text the score S of the best segment of n words has an
 extreme-value law, P(S > s) = 1 - exp(-K n exp(-lambda s)); lambda and K come
 from the clean training counts.  Each segment's normalised score is
 lambda S - ln(K n); segments above 0 are reported as passages, and the
-document's evidence is their sum.  A logistic curve fitted to the evidence of all
-labelled texts turns it into a probability.
+document's evidence is their sum.  A logistic curve turns it into a probability.
+It is fitted to the evidence of all labelled texts, of each by the tokens of the
+other folds: texts are in one of FOLDS by a hash, so that equal texts share a
+fold, and each fold has a table of token scores that was counted without it.
+
+The discount of repeated tokens only lowers scores, so that the extreme-value law
+of undiscounted scores still bounds the chance of a passage in clean text.
 
 The model is a table of all significant tokens, which is broadcast; if there
-are more than MAX_TOKENS training fails.  Training moves the labelled texts once, to
+are more than MAX_TOKENS (24 MB) training fails.  Training moves the labelled texts once, to
 meet their labels; calibration and scoring move only ids and numbers.
 
 Cases: null and empty texts and texts without scored words have evidence 0
@@ -44,7 +49,9 @@ PRIOR = 0.1
 Z = 3.0
 CAP = 6.0
 DRIFT = 0.5
-MAX_TOKENS = 50_000
+MAX_TOKENS = 1_000_000
+#: Parts of the labelled texts for the calibration.
+FOLDS = 5
 #: Bytes of the beginnings of longer words that are tokens too.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Distinct tokens that a training task holds before it sends them.
@@ -144,7 +151,7 @@ class Model:
 
 
 def token_counts(labelled: DataFrame) -> DataFrame:
-    """token (hash), whole (1: a word, 0: a beginning), toxic and clean: the number of texts of either label that have the token."""
+    """token (hash), whole (1: a word, 0: a beginning), and for each fold the number of texts of either label that have the token: toxic0, ... clean0, ..."""
 
     def merged(held: list[np.ndarray]) -> np.ndarray:
         """Rows of hash, whole, toxic, clean, summed by hash."""
@@ -154,26 +161,31 @@ def token_counts(labelled: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], x["h"][1:] != x["h"][:-1]])) if len(x) else np.zeros(0, int)
         out = x[first].copy()
         for c in ("toxic", "clean"):
-            out[c] = np.add.reduceat(x[c], first) if len(x) else 0
+            out[c] = np.add.reduceat(x[c], first, axis=0) if len(x) else 0
         return out
 
+    names = [f"{c}{k}" for c in ("toxic", "clean") for k in range(FOLDS)]
+
     def run(batches):
-        kind = [("h", np.uint64), ("whole", np.int64), ("toxic", np.int64), ("clean", np.int64)]
+        kind = [("h", np.uint64), ("whole", np.int64), ("toxic", np.int64, (FOLDS,)), ("clean", np.int64, (FOLDS,))]
         held, size = [np.zeros(0, kind)], 0
 
         def rows(x: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["h"]).view(np.int64)), *(pa.array(np.ascontiguousarray(x[c])) for c in ("whole", "toxic", "clean"))], names=["token", "whole", "toxic", "clean"])
+            counts = [pa.array(np.ascontiguousarray(x[c][:, k])) for c in ("toxic", "clean") for k in range(FOLDS)]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["h"]).view(np.int64)), pa.array(np.ascontiguousarray(x["whole"])), *counts], names=["token", "whole", *names])
 
         for batch in batches:
             for part in slices(batch):
                 found, off = tokens(part.column("text"))
                 of_word = rows_of(off).astype(np.uint64)
-                y = np.array(part.column("toxic").to_pylist(), np.int64)
+                y, fold = (np.array(part.column(c).to_pylist(), np.int64) for c in ("toxic", "fold"))
                 for k, (at, h) in enumerate(found):
                     _, pick = np.unique(mix(h + of_word[at] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
                     own = np.zeros(len(pick), kind)
-                    own["h"], own["whole"], own["toxic"] = h[pick], k == 0, y[of_word[at[pick]].astype(np.int64)]
-                    own["clean"] = 1 - own["toxic"]
+                    text = of_word[at[pick]].astype(np.int64)
+                    own["h"], own["whole"] = h[pick], k == 0
+                    own["toxic"][np.arange(len(pick)), fold[text]] = y[text]
+                    own["clean"][np.arange(len(pick)), fold[text]] = 1 - y[text]
                     held.append(own)
                     size += len(own)
                 if size > 2 * HELD:
@@ -184,8 +196,12 @@ def token_counts(labelled: DataFrame) -> DataFrame:
                         held, size = [np.zeros(0, kind)], 0
         yield rows(merged(held))
 
-    sent = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "token long, whole long, toxic long, clean long")
-    return sent.groupBy("token").agg(F.max("whole").alias("whole"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sent = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), _fold().alias("fold")).mapInArrow(run, ", ".join(f"{c} long" for c in ["token", "whole", *names]))
+    return sent.groupBy("token").agg(F.max("whole").alias("whole"), *[F.sum(c).alias(c) for c in names])
+
+
+def _fold():
+    return F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
 
 
 def extreme_value(p_positive: dict[float, float]) -> tuple[float, float]:
@@ -261,35 +277,76 @@ def _passages(text: str, found: list[tuple[int, int, float]]) -> list[dict]:
     return [{"first": int(a), "last": int(b), "score": float(x), "text": data[starts[a] : ends[b]].decode()} for a, b, x in found]
 
 
+def log_odds(y1, y0, n1, n0, log, sqrt):
+    """Log-odds ratio of a token with the Dirichlet prior, and its z-score; numbers, arrays or columns."""
+    prior, n = (y1 + y0) * PRIOR, n1 + n0
+    odds = lambda y, n_y: log((y + prior) / (n_y + PRIOR * n - y - prior))
+    delta = odds(y1, n1) - odds(y0, n0)
+    return delta, delta / sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+
+
+def _without(fold: int, c: str) -> list[str]:
+    """The counts of all other folds; of all folds for FOLDS itself."""
+    return [f"{c}{k}" for k in range(FOLDS) if k != fold]
+
+
+def _fitted(rows: dict[str, np.ndarray], totals: dict[str, int], fold: int) -> Model:
+    """The model of all folds but one, not calibrated yet. rows: the counts of tokens that may be significant."""
+    (y1, y0), (n1, n0) = ([sum(x[c] for c in _without(fold, label)) for label in ("toxic", "clean")] for x in (rows, totals))
+    scores: dict[int, float] = {}
+    shares: dict[float, float] = {}
+    if n1 and n0:
+        some = np.flatnonzero(y1 + y0 > 1)
+        y1, y0, token, whole = (x[some].astype(float) if k < 2 else x[some] for k, x in enumerate((y1, y0, rows["token"], rows["whole"])))
+        delta, z = log_odds(y1, y0, n1, n0, np.log, np.sqrt)
+        for k in sorted(np.flatnonzero(np.abs(z) >= Z).tolist(), key=lambda k: (-abs(z[k]), int(token[k]))):
+            d = max(-CAP, min(CAP, float(delta[k])))
+            scores[int(token[k]) % (1 << 64)] = d
+            if whole[k]:
+                shares[round(d - DRIFT, 3)] = shares.get(round(d - DRIFT, 3), 0.0) + (float(y0[k]) + 0.5) / n0
+    return Model(scores, *(extreme_value(shares) if shares else (1.0, 1.0)))
+
+
+def _evidence(labelled: DataFrame, models: list[Model]) -> DataFrame:
+    """x (evidence in steps) and toxic of every text, by the model of its fold."""
+    shared = labelled.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                fold = np.array(part.column("fold").to_pylist(), np.int64)
+                out = np.zeros(len(fold))
+                for k, m in enumerate(shared.value):
+                    own = np.flatnonzero(fold == k)
+                    if len(own) and len(m.hashes):
+                        out[own] = [sum(x for _, _, x in f) for f in m.passages(part.column("text").take(pa.array(own)))]
+                yield pa.RecordBatch.from_arrays([part.column("_doc"), pa.array(np.minimum(np.floor(out * STEPS), MAX_EVIDENCE * STEPS) / STEPS)], names=["_doc", "x"])
+
+    return labelled.select("_doc", "text", _fold().alias("fold")).mapInArrow(run, "_doc string, x double")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id and text; labels: doc_id and toxic (0 or 1) of the documents to learn from; all of them are counted."""
     own = labels.where("toxic IN (0, 1)").groupBy(doc_key().alias("_doc")).agg(F.max("toxic").alias("toxic"))
     texts = docs.select(doc_key().alias("_doc"), "text")
     # both sides are dealt at every size: labels grow with the documents
     counts = cut(token_counts(texts.hint("merge").join(own, "_doc")))
-    n1, n0 = (int(x or 0) for x in counts.where("whole = 1").agg(F.sum("toxic"), F.sum("clean")).first())
-    n = n1 + n0
-    scores: dict[int, float] = {}
-    shares: dict[float, float] = {}
-    if n1 and n0:
-        y1, y0 = F.col("toxic"), F.col("clean")
-        prior = (y1 + y0) * F.lit(PRIOR)
-        odds = lambda y, n_y: F.log((y + prior) / (F.lit(n_y + PRIOR * n) - y - prior))
-        delta = odds(y1, n1) - odds(y0, n0)
-        z = delta / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
-        found = counts.where("toxic + clean > 1").select("token", "whole", "clean", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= Z)
-        rows = found.limit(MAX_TOKENS + 1).collect()
-        if len(rows) > MAX_TOKENS:
-            raise ValueError(f"more than MAX_TOKENS = {MAX_TOKENS} significant tokens: none may be dropped, raise MAX_TOKENS")
-        for r in sorted(rows, key=lambda r: (-abs(r.z), r.token)):
-            d = max(-CAP, min(CAP, r.delta))
-            scores[r.token % (1 << 64)] = d
-            if r.whole:
-                shares[round(d - DRIFT, 3)] = shares.get(round(d - DRIFT, 3), 0.0) + (r.clean + 0.5) / n0
-    model = Model(scores, *(extreme_value(shares) if shares else (1.0, 1.0)))
-    if scores:
-        step = F.least(F.floor(F.col("evidence") * STEPS), F.lit(MAX_EVIDENCE * STEPS)) / STEPS
-        seen = scored(texts, model).select("_doc", step.alias("x")).hint("merge").join(own, "_doc")
+    names = [f"{c}{k}" for c in ("toxic", "clean") for k in range(FOLDS)]
+    totals = {c: int(x or 0) for c, x in counts.where("whole = 1").agg(*[F.sum(c).alias(c) for c in names]).first().asDict().items()}
+    significant = F.lit(False)
+    for fold in range(FOLDS + 1):
+        n1, n0 = (sum(totals[c] for c in _without(fold, label)) for label in ("toxic", "clean"))
+        if n1 and n0:
+            y1, y0 = (sum((F.col(c) for c in _without(fold, label)), F.lit(0)) for label in ("toxic", "clean"))
+            z = log_odds(y1, y0, F.lit(float(n1)), F.lit(float(n0)), F.log, F.sqrt)[1]
+            significant = significant | ((y1 + y0 > 1) & (F.abs(z) >= Z))
+    found = counts.where(significant).limit(MAX_TOKENS + 1).toArrow()
+    if found.num_rows > MAX_TOKENS:
+        raise ValueError(f"more than MAX_TOKENS = {MAX_TOKENS} significant tokens: none may be dropped, raise MAX_TOKENS")
+    rows = {c: found.column(c).to_numpy() for c in found.column_names}
+    *parts, model = (_fitted(rows, totals, fold) for fold in range(FOLDS + 1))
+    if len(model.hashes):
+        seen = _evidence(texts, parts).hint("merge").join(own, "_doc")
         model.slope, model.shift = _logistic([(r.x, r.n0, r.n1) for r in seen.groupBy("x").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1")).collect()])
     return model
 
