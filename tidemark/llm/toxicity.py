@@ -51,7 +51,7 @@ CAP = 6.0
 DRIFT = 0.5
 MAX_TOKENS = 1_000_000
 #: Parts of the labelled texts for the calibration.
-FOLDS = 5
+FOLDS = 3
 #: Bytes of the beginnings of longer words that are tokens too.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Distinct tokens that a training task holds before it sends them.
