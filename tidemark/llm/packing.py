@@ -157,7 +157,8 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, sequence: int = SEQUENC
     schema = f"sequence_id long, n_tokens long, n_segments long, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind.simpleString()}>, starts array<long>"
     key = F.xxhash64(F.col("doc_id").cast("string"), "text")
     mine = docs.where("text <> ''").select("doc_id", "text", F.pmod(key, F.lit(blocks)).alias("_b"), key.alias("_k"))
-    dealt = mine.repartition("_b").sortWithinPartitions("_b", "_k", "doc_id", "text")
+    # a few blocks for each task, as many tasks as the texts need
+    dealt = mine.repartition(min(-(-blocks // 4), 100_000), "_b").sortWithinPartitions("_b", "_k", "doc_id", "text")
     return dealt.select("doc_id", "text", "_b").mapInArrow(run, schema)
 
 
