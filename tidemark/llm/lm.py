@@ -219,7 +219,7 @@ class Network:
         p[np.arange(n), target] -= np.float32(1 / n)
         back = (p @ self.w2.T) * (1 - h * h)
         by_word = back @ self.w1.T
-        at = (context.astype(np.int64)[:, :, None] * DIM + np.arange(DIM)).reshape(-1)
+        at = np.arange(self.emb.size).reshape(self.emb.shape)[context].reshape(-1)
         demb = np.bincount(at, by_word.reshape(-1), self.emb.size).reshape(self.emb.shape).astype(np.float32)
         return demb, x.T @ back, back.sum(0), h.T @ p, p.sum(0)
 
