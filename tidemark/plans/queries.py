@@ -443,17 +443,36 @@ def budgeted(spark, sf) -> DataFrame:
     return allocator.trade_budget(rows, 3, 2.0)
 
 
-@query("trade_budget")
+#: The budget bar by bar: lists in the order of symbols are the state, and the trades left on the day.
+BUDGET = """tg AS (SELECT ts, bar_idx, symbol, round(signal, 3) AS desired FROM sg),
+bars AS (SELECT bar_idx, max(ts) AS ts, max(CAST(ts AS DATE)) AS d, list(desired ORDER BY symbol) AS want, list(symbol ORDER BY symbol) AS names, range(1, count(*) + 1) AS places FROM tg GROUP BY bar_idx),
+rec AS (
+  SELECT CAST(-1 AS BIGINT) AS b, CAST(NULL AS DATE) AS d, (SELECT list_transform(places, lambda i: CAST(0 AS DOUBLE)) FROM bars WHERE bar_idx = 0) AS cur, CAST(3 AS BIGINT) AS room, CAST([] AS DOUBLE[]) AS delta, CAST([] AS DOUBLE[]) AS val, CAST([] AS BOOLEAN[]) AS done
+  UNION ALL
+  SELECT b, d, list_transform(places, lambda i: CASE WHEN done[i] THEN goal[i] ELSE cur[i] END), room - len(list_filter(done, lambda x: x)), delta, val, done FROM (
+    SELECT *, list_transform(places, lambda i: ok[i] AND len(list_filter(places, lambda j: ok[j] AND (val[j] > val[i] OR (val[j] = val[i] AND j < i)))) < room) AS done FROM (
+      SELECT *, list_transform(places, lambda i: abs(delta[i]) > 0.05 AND val[i] > 0) AS ok FROM (
+        SELECT *, list_transform(delta, lambda x: abs(x) * (5.0 / 1e4 - 2.0 / 1e4)) AS val FROM (
+          SELECT *, list_transform(places, lambda i: goal[i] - cur[i]) AS delta FROM (
+            SELECT bars.bar_idx AS b, bars.d, cur, CASE WHEN bars.d = rec.d THEN room ELSE 3 END AS room, places, list_transform(places, lambda i: coalesce(want[i], cur[i])) AS goal
+            FROM rec JOIN bars ON bars.bar_idx = rec.b + 1)))))
+),
+bd AS (SELECT 'book' AS book, bars.ts, bars.bar_idx, unnest(names) AS symbol, unnest(cur) AS position, unnest(delta) AS delta, unnest(val) AS value, unnest(done) AS executed FROM rec JOIN bars ON bar_idx = b),
+dc AS (SELECT *, CASE WHEN executed THEN 'executed' WHEN abs(delta) > 0.05 AND value > 0 THEN 'budget_exhausted' WHEN abs(delta) <= 0.05 THEN 'below_min_trade_size' ELSE 'negative_expected_value' END AS reason FROM bd)"""
+BUDGETED = f"WITH RECURSIVE {DAILY}, {SIGS}, {BUDGET}"
+
+
+@query("trade_budget", f"{BUDGETED} SELECT book, CAST(ts AS VARCHAR) AS ts, bar_idx, symbol, {r('position', 'position')}, {r('delta', 'delta')}, {r('value', 'value')}, executed, reason FROM dc")
 def trade_budget(spark, sf):
     return rounded(budgeted(spark, sf))
 
 
-@query("budget_used")
+@query("budget_used", f"{BUDGETED} SELECT book, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) FILTER (WHERE executed) AS budget_used FROM dc GROUP BY 1, 2")
 def budget_used(spark, sf):
     return rounded(allocator.budget_used(budgeted(spark, sf)))
 
 
-@query("rejection_reasons")
+@query("rejection_reasons", f"{BUDGETED} SELECT reason, count(*) AS count FROM dc WHERE NOT executed GROUP BY 1")
 def rejection_reasons(spark, sf):
     return allocator.rejection_reasons(budgeted(spark, sf))
 
@@ -519,7 +538,14 @@ def compute_ic(spark, sf):
     return rounded(own).join(rounded(ic.select("n_effective"), 2))
 
 
-@query("newey_west_panel")
+@query(
+    "newey_west_panel",
+    f"""WITH {DAILY}, {SIGS}, {FWD}, {PROD},
+ne AS (SELECT symbol, bar_idx, x - avg(x) OVER (PARTITION BY symbol) AS e, count(*) OVER (PARTITION BY symbol) AS n FROM x),
+cv AS (SELECT a.symbol, max(a.n) AS n, sum(CASE WHEN l = 0 THEN 1.0 ELSE 2.0 * (1 - l / 11.0) END * a.e * b.e) AS s, sum(CASE WHEN l = 0 THEN a.e * b.e END) AS s0 FROM ne a CROSS JOIN (SELECT unnest(range(0, 11)) AS l) u JOIN ne b ON b.symbol = a.symbol AND b.bar_idx = a.bar_idx + u.l GROUP BY 1),
+vv AS (SELECT n, greatest(s, s0) / n / n AS v, n / sum(n) OVER () AS w FROM cv WHERE n > 12)
+SELECT {r('sqrt(sum(w * w * v))', 'se_newey_west')} FROM vv""",
+)
 def newey_west_panel(spark, sf):
     return rounded(inference.newey_west_panel(inference.products(inference.demean(cells(spark, sf))), 10))
 
