@@ -777,7 +777,8 @@ def streaming_bars(spark, sf):
     from tidemark.streaming.bars import bars_of_stream, windowed_bars
 
     path = f"{sf}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # a stream reads folders or patterns; the table may be one file
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/[e]vents.parquet")
     return rounded(bars_of_stream(windowed_bars(events.withColumn("ts", F.col("ts").cast("timestamp")))))
 
 
