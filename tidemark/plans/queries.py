@@ -734,15 +734,46 @@ def hypothesis_cost(spark, sf):
     return rounded(spark.createDataFrame([regime.hypothesis_cost(5, 4, 2500)]))
 
 
+# --- generators: keyed draws, so the twins draw the same numbers ------------
+
+
+def unit_sql(key: str) -> str:
+    return f"((('0x' || substr(md5({key}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+def normal_sql(key: str) -> str:
+    return f"(sqrt(-2 * ln({unit_sql(key + " || '|u'")})) * cos(2 * pi() * {unit_sql(key + " || '|v'")}))"
+
+
+CELL = "seed || '|' || bar_idx || '|' || asset"
+CHI = " + ".join(f"pow({normal_sql(f"{CELL} || '|chi|{k}'")}, 2)" for k in range(1, 6))
+SHOCKS = f"""WITH RECURSIVE days AS (SELECT row_number() OVER (ORDER BY d) - 1 AS bar_idx, CAST(d AS VARCHAR) AS ts FROM (SELECT unnest(range(TIMESTAMP '2015-01-01', TIMESTAMP '2018-01-01', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6),
+cell AS (SELECT seed, bar_idx, asset FROM (SELECT unnest([1::BIGINT, 2::BIGINT]) AS seed), (SELECT unnest(range(0, 300)) AS bar_idx), (SELECT unnest([0, 1, 2]) AS asset)),
+zs AS MATERIALIZED (SELECT *, sqrt(0.2) * {normal_sql("seed || '|' || bar_idx || '|common'")} + sqrt(0.8) * {normal_sql(CELL)} AS z, {CHI} AS chi, {unit_sql("seed || '|' || bar_idx || '|state'")} AS switch, {unit_sql(CELL + " || '|direction'")} AS direction FROM cell)"""
+PRICED = "SELECT seed, lp.bar_idx, 'asset_' || asset AS symbol, ts, " + r("exp(ln(100) + x)", "px") + " FROM lp JOIN days ON days.bar_idx = lp.bar_idx"
+NEXT = "JOIN zs ON zs.seed = lp.seed AND zs.asset = lp.asset AND zs.bar_idx = lp.bar_idx + 1"
+DT, THETA, PULL = "(1 / 252.0::DOUBLE)", "(ln(2) / 10)", "(1 - exp(-ln(2) / 5))"
+TWINS = {
+    "gbm": f"{SHOCKS}, lp AS (SELECT *, sum(CASE WHEN bar_idx = 0 THEN 0 ELSE -0.02 * {DT} + 0.2 * sqrt({DT}) * z END) OVER (PARTITION BY seed, asset ORDER BY bar_idx) AS x FROM zs) {PRICED}",
+    "ornstein_uhlenbeck": f"{SHOCKS}, lp AS (SELECT seed, asset, bar_idx, 0.0::DOUBLE AS x FROM zs WHERE bar_idx = 0 UNION ALL SELECT zs.seed, zs.asset, zs.bar_idx, exp(-{THETA}) * x + sqrt(0.04 * {DT} / (2 * {THETA}) * (1 - exp(-2 * {THETA}))) * z FROM lp {NEXT}) {PRICED}",
+    "garch_t": f"{SHOCKS}, lp AS (SELECT seed, asset, bar_idx, 0.0::DOUBLE AS x, 0.04 * {DT} AS v FROM zs WHERE bar_idx = 0 UNION ALL "
+    f"SELECT seed, asset, bar_idx, x - v / 2 + e, 0.04 * {DT} * (1 - 0.08 - 0.9) + 0.08 * e * e + 0.9 * v FROM (SELECT zs.seed, zs.asset, zs.bar_idx, x, v, sqrt(v) * z / sqrt(chi / 5) * sqrt(0.6) AS e FROM lp {NEXT})) {PRICED}",
+    "regime_switching": f"{SHOCKS}, lp AS (SELECT seed, asset, bar_idx, 0.0::DOUBLE AS x, 0.0::DOUBLE AS anchor, switch < 0.5 AS trend, CASE WHEN direction < 0.5 THEN 1 ELSE -1 END AS side FROM zs WHERE bar_idx = 0 UNION ALL "
+    f"SELECT seed, asset, bar_idx, x + 0.2 * sqrt({DT}) * z + CASE WHEN trend THEN side * 0.6 * {DT} ELSE {PULL} * (anchor - x) END, anchor, trend, side FROM ("
+    "SELECT zs.seed, zs.asset, zs.bar_idx, z, x, CASE WHEN switch > 0.97 THEN x ELSE anchor END AS anchor, CASE WHEN switch > 0.97 THEN NOT trend ELSE trend END AS trend, "
+    f"CASE WHEN switch <= 0.97 THEN side WHEN direction < 0.5 THEN 1 ELSE -1 END AS side FROM lp {NEXT})) {PRICED}",
+}
+
+
 def generator_query(name: str):
-    @query(f"simulate_{name}")
+    @query(f"simulate_{name}", TWINS[name])
     def run(spark, sf):
         from tidemark.plans.api import GENERATORS
 
         return rounded(GENERATORS[name](spark, 300, 3, [1, 2], correlation=0.2))
 
 
-for _name in ("gbm", "ornstein_uhlenbeck", "garch_t", "regime_switching"):
+for _name in TWINS:
     generator_query(_name)
 
 

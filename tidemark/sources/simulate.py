@@ -26,11 +26,15 @@ def business_days(spark: SparkSession, n: int, start: str = "2015-01-01") -> Dat
     return weekdays.where(F.col("bar_idx") < n).select(F.col("d").cast("timestamp").alias("ts"), "bar_idx")
 
 
+def _unit(*key):
+    """A uniform number above 0 and below 1 for each key: 52 bits of its MD5, so any SQL engine draws the same."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def _normal(*key):
     """A standard normal number for each key (Box-Muller on keyed uniforms)."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key])
-    unit = lambda salt: (F.pmod(F.xxhash64(text, F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return F.sqrt(-2 * F.ln(unit("u"))) * F.cos(2 * math.pi * unit("v"))
+    return F.sqrt(-2 * F.ln(_unit(*key, F.lit("u")))) * F.cos(2 * math.pi * _unit(*key, F.lit("v")))
 
 
 def shocks(spark: SparkSession, seeds: list[int], n_steps: int, n_assets: int, correlation: float = 0.0) -> DataFrame:
@@ -93,11 +97,14 @@ def garch_t(spark: SparkSession, n_steps: int = 1000, n_assets: int = 1, seeds:
     if alpha + beta >= 1 or nu <= 2:
         raise ValueError("need alpha + beta < 1 and nu > 2")
     long_run = target_vol * target_vol * dt
+    whole, rest = int(nu), nu - int(nu)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx")
-        key = [int(pdf["seed"].iloc[0]) & 0xFFFFFFFF, int(pdf["asset"].iloc[0])]
-        chi = np.random.default_rng(key).chisquare(nu, len(pdf)) / nu
+        chi = pdf["chi"].to_numpy() / nu
+        if rest:  # the part of the chi-square below one degree of freedom
+            key = [int(pdf["seed"].iloc[0]) & 0xFFFFFFFF, int(pdf["asset"].iloc[0])]
+            chi = chi + 2 * np.random.default_rng(key).standard_gamma(rest / 2, len(pdf)) / nu
         t = pdf["z"].to_numpy() / np.sqrt(chi) * math.sqrt((nu - 2) / nu)
         var, out = long_run, np.zeros(len(pdf))
         for i in range(1, len(pdf)):
@@ -106,7 +113,10 @@ def garch_t(spark: SparkSession, n_steps: int = 1000, n_assets: int = 1, seeds:
             var = long_run * (1 - alpha - beta) + alpha * e * e + beta * var
         return pdf.assign(lp=math.log(s0) + np.cumsum(out))[["seed", "asset", "bar_idx", "lp"]]
 
-    return _prices(_recursion(shocks(spark, seeds, n_steps, n_assets, correlation), ["seed", "asset"], step), n_steps, start)
+    square = lambda k: F.pow(_normal("seed", "bar_idx", "asset", F.lit("chi"), k), F.lit(2.0))
+    z = shocks(spark, seeds, n_steps, n_assets, correlation)
+    z = z.withColumn("chi", F.aggregate(F.sequence(F.lit(1), F.lit(whole)), F.lit(0.0), lambda a, k: a + square(k)))
+    return _prices(_recursion(z, ["seed", "asset"], step), n_steps, start)
 
 
 def regime_switching(spark: SparkSession, n_steps: int = 1000, n_assets: int = 1, seeds: list[int] = [0], p_stay_trend: float = 0.97, p_stay_chop: float = 0.97, drift: float = 0.6, half_life: float = 5.0, sigma: float = 0.2, correlation: float = 0.0, s0: float = 100.0, dt: float = DAY, start: str = "2015-01-01", with_states: bool = False) -> DataFrame:  # noqa: B006
@@ -118,18 +128,16 @@ def regime_switching(spark: SparkSession, n_steps: int = 1000, n_assets: int = 1
     stationary = (1 - p_stay_chop) / leave if leave > 0 else 0.5  # the chain's long-run share of trends
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf.pivot(index="bar_idx", columns="asset", values="z").sort_index()
+        z, drawn = (pdf.pivot(index="bar_idx", columns="asset", values=c).sort_index() for c in ("z", "direction"))
         n, m = z.shape
-        rng = np.random.default_rng(int(pdf["seed"].iloc[0]) & 0xFFFFFFFF)
-        # a fixed number of draws for each bar keeps the beginning of longer panels
-        draws = [rng.random(m + 1) for _ in range(n)]
-        trend, x, anchor = draws[0][0] < stationary, np.zeros(m), np.zeros(m)
-        sign = np.where(draws[0][1:] < 0.5, 1.0, -1.0)
+        signs = np.where(drawn.to_numpy() < 0.5, 1.0, -1.0)
+        switch = pdf.groupby("bar_idx")["switch"].first().sort_index().to_numpy()
+        trend, x, anchor, sign = switch[0] < stationary, np.zeros(m), np.zeros(m), signs[0]
         lp, states = np.zeros((n, m)), ["trend" if trend else "chop"]
         for i in range(1, n):
-            if draws[i][0] > (p_stay_trend if trend else p_stay_chop):
+            if switch[i] > (p_stay_trend if trend else p_stay_chop):
                 trend = not trend
-                sign, anchor = np.where(draws[i][1:] < 0.5, 1.0, -1.0), x.copy()
+                sign, anchor = signs[i], x.copy()
             noise = sigma * math.sqrt(dt) * z.to_numpy()[i]
             x = x + (sign * drift * dt + noise if trend else pull * (anchor - x) + noise)
             lp[i] = x
@@ -138,7 +146,10 @@ def regime_switching(spark: SparkSession, n_steps: int = 1000, n_assets: int = 1
         out["state"] = out["bar_idx"].map(dict(zip(z.index, states)))
         return out.assign(seed=pdf["seed"].iloc[0])[["seed", "bar_idx", "asset", "lp", "state"]]
 
-    raw = _recursion(shocks(spark, seeds, n_steps, n_assets, correlation), ["seed"], step, ", state string")
+    z = shocks(spark, seeds, n_steps, n_assets, correlation)
+    # the state is shared by the assets of a seed, its direction isn't
+    z = z.withColumns({"switch": _unit("seed", "bar_idx", F.lit("state")), "direction": _unit("seed", "bar_idx", "asset", F.lit("direction"))})
+    raw = _recursion(z, ["seed"], step, ", state string")
     prices = _prices(raw, n_steps, start)
     if not with_states:
         return prices
