@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import defined, ratio
 from tidemark.plans.panel import by_symbol
 
-#: Above so many pairs (periods x lags), autocovariances are taken by FFT.
-PAIRS = 5_000_000
+#: Above so many lags, autocovariances are taken by FFT: the join copies every period once a lag.
+LAGS = 50
 
 
 def demean(df: DataFrame, column: str = "fwd", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -147,7 +147,8 @@ def compute_ic(cells: DataFrame, horizon: int, residualise: bool = True, lags: i
 
     The forward returns are demeaned before cells without a signal are
     dropped.  Driscoll-Kraay: the products' mean at each valid period, and
-    Newey-West over these periods, with lags round(lag_multiple * horizon).
+    Newey-West over these periods, with lags round(lag_multiple * horizon), by
+    FFT if fft or, where that is None, above LAGS lags.
     """
     if horizon < 1:
         raise ValueError("horizon must be at least 1")
@@ -156,10 +157,11 @@ def compute_ic(cells: DataFrame, horizon: int, residualise: bool = True, lags: i
     per_period = x.where("x IS NOT NULL").groupBy(*keys, "ts", "bar_idx").agg(F.avg("x").alias("m"), F.count("x").alias("c"))
     valid = per_period.where(F.col("c") >= min_symbols)
     n_lags = max(1, int(round(lag_multiple * horizon)) if lags is None else lags)
+    fft = n_lags > LAGS if fft is None else fft
     dk = (newey_west_fft if fft else newey_west)(valid, "m", n_lags, keys).select(*keys, F.col("n").alias("n_periods"), F.when(F.col("n") >= 5, F.col("se")).alias("se_dk"))
     by_asset = x.where("x IS NOT NULL").groupBy(*keys, "symbol").agg(F.avg("x").alias("m")).groupBy(*keys).agg((F.stddev_samp("m") / F.sqrt(F.count("m").cast("double"))).alias("se_cluster_asset"))
     on = list(keys)
-    out = pooled.join(dk, on, "left").join(by_asset, on, "left") if on else pooled.join(F.broadcast(dk)).join(F.broadcast(by_asset))
+    out = pooled.join(dk, on, "left").join(by_asset, on, "left") if on else pooled.join(F.broadcast(dk), F.lit(True), "left").join(F.broadcast(by_asset))  # one row each, by FFT none without periods
     n = F.col("n_raw").cast("double")
     usable = (F.col("n_raw") >= 10) & F.col("ic").isNotNull()
     out = out.withColumn("ic", F.when(usable, F.col("ic"))).withColumn("se_iid", F.sqrt(F.greatest(1 - F.col("ic") * F.col("ic"), F.lit(0.0)) / (n - 2)))

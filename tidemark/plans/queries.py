@@ -718,10 +718,33 @@ def walk_forward_book(spark, sf):
     return rounded(book.select("fold", "point", "bar_idx", "net"))
 
 
-# --- without a twin ---------------------------------------------------------
+# --- luck: the twins take the normal law from its series and quantiles by bisection ---
+
+
+def cdf_sql(x: str) -> str:
+    """The standard normal distribution function within 8 deviations, beyond which it is 0 or 1 to 15 digits."""
+    near = f"least(greatest({x}, -8.0), 8.0)"
+    term = "exp((2 * k + 1) * ln(greatest(abs(y), 1e-300)) - y * y / 2 - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2)"
+    return f"(SELECT 0.5 + sign(y) * sum({term}) / sqrt(2 * pi()) FROM (SELECT {near} AS y, unnest(range(0, 120)) AS k) GROUP BY y)"
+
+
+def luck_sql(*n_trials: int) -> str:
+    """luck: the mean greatest of n standard normal numbers, as metrics.expected_max_sharpe has it, by n."""
+    rows = ", ".join(f"({n}, {w}, {p})" for n in n_trials for w, p in ((f"1 - {metrics.EULER}", f"1 - 1 / {n}::DOUBLE"), (metrics.EULER, f"1 - 1 / ({n} * exp(1))")))
+    return f"""bisect AS (SELECT n, w::DOUBLE AS w, p::DOUBLE AS p, -8.0::DOUBLE AS lo, 8.0::DOUBLE AS hi, 0 AS step FROM (VALUES {rows}) AS v(n, w, p) UNION ALL
+SELECT n, w, p, CASE WHEN c < p THEN mid ELSE lo END, CASE WHEN c < p THEN hi ELSE mid END, step + 1 FROM (SELECT *, {cdf_sql('mid')} AS c FROM (SELECT *, (lo + hi) / 2 AS mid FROM bisect WHERE step < 50))),
+luck AS (SELECT n, sum(w * (lo + hi) / 2) AS z FROM bisect WHERE step = 50 GROUP BY 1)"""
 
 
-@query("probabilistic_sharpe")
+PSR = f"{BOOK}, {EQ}, {SUMMARY}".split("\nSELECT n_periods")[0].replace("WITH ", "WITH RECURSIVE ", 1) + f""", {luck_sql(21)},
+x AS (SELECT sharpe_per_period AS sr, n_returns AS n, z / sqrt(n_returns - 1) AS top, sqrt((n_returns - 1) / (1 - skew * sharpe_per_period + (kurtosis - 1) / 4 * pow(sharpe_per_period, 2))) AS scale FROM s, luck),
+y AS (SELECT top, sr * scale AS a, (sr - top) * scale AS b FROM x)
+SELECT {r(cdf_sql('a'), 'psr')}, {r(cdf_sql('b'), 'dsr')}, {r('top', 'expected_max')} FROM y"""
+COST = f"""WITH RECURSIVE {luck_sql(5, 20)}, t AS (SELECT max(z) FILTER (WHERE n = 5) * sqrt(252 / 2499.0) AS one, max(z) FILTER (WHERE n = 20) * sqrt(252 / 2499.0) AS many FROM luck)
+SELECT {r('one', 'threshold_unconditional')}, {r('many', 'threshold_conditional')}, {r('many / one', 'multiplier')}, {r('sqrt(252 / 625.0::DOUBLE)', 'sharpe_se_per_regime')} FROM t"""
+
+
+@query("probabilistic_sharpe", PSR)
 def probabilistic_sharpe(spark, sf):
     s = metrics.summary(scaled(spark, sf)).first()
     own = (s.sharpe_per_period, s.n_returns, s.skew, s.kurtosis)
@@ -729,7 +752,7 @@ def probabilistic_sharpe(spark, sf):
     return rounded(spark.createDataFrame(rows, "psr double, dsr double, expected_max double"))
 
 
-@query("hypothesis_cost")
+@query("hypothesis_cost", COST)
 def hypothesis_cost(spark, sf):
     return rounded(spark.createDataFrame([regime.hypothesis_cost(5, 4, 2500)]))
 
@@ -777,6 +800,9 @@ for _name in TWINS:
     generator_query(_name)
 
 
+# --- without a twin ---------------------------------------------------------
+
+
 @query("portfolio_ledger")
 def portfolio_ledger(spark, sf):
     from tidemark.plans.portfolio import run_portfolio
