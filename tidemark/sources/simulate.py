@@ -45,7 +45,7 @@ def shocks(spark: SparkSession, seeds: list[int], n_steps: int, n_assets: int, c
     """
     if n_assets > 1 and not -1 / (n_assets - 1) < correlation < 1:
         raise ValueError("correlation must be above -1/(n_assets - 1) and below 1")
-    base = spark.createDataFrame([(s,) for s in seeds], "seed long").select("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_steps - 1).cast("long"))).alias("bar_idx"))
+    base = spark.range(n_steps).select(F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("seed"), F.col("id").alias("bar_idx"))
     cells = base.select("seed", "bar_idx", F.explode(F.sequence(F.lit(0), F.lit(n_assets - 1))).alias("asset"))
     own = cells.withColumn("e", _normal("seed", "bar_idx", "asset"))
     if correlation >= 0:
